@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+from echofold.llm.media import op2_netpbm_media
+from echofold.llm.mixing import op3_block_source_mixing
 from echofold.llm.sharding import op1_balanced_label_propagation
+from echofold.llm.url_filter import op9_link_graph_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_balanced_label_propagation,
+        op2_netpbm_media,
+        op3_block_source_mixing,
+        op9_link_graph_url_filter,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

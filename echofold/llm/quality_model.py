@@ -2,8 +2,8 @@
 
 Every token has a sparse random index vector; the word vector of a token is the sum of the index vectors of its
 neighbours over the whole corpus, scaled to length one, plus its own index vector. Tokens are hashed into a fixed
-number of buckets, so the table of word vectors has the same size whatever the corpus. A document is the mean and
-spread of its tokens' vectors, a two-layer network in numpy scores it, and a temperature fitted on training rows that
+number of buckets, so the table of word vectors has the same size whatever the corpus. A document is the mean, spread
+and neighbours' likeness of its tokens' vectors, a two-layer network in numpy scores it, and a temperature fitted on training rows that
 the network hasn't seen calibrates the probability.
 """
 
@@ -23,6 +23,7 @@ BUCKETS, DIMS, NONZERO, REACH = 4096, 32, 4, 2
 #: At most so many labelled rows train the network; those with the least hash of their id, over all rows.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS = 32, 40
+FEATURES = 2 * DIMS + REACH + 1
 _CHUNKS = 16
 _GROUP = 1 << 20
 
@@ -121,15 +122,26 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(found: np.ndarray, bounds: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of each text's token vectors; zeros without tokens."""
-    out = np.zeros((len(bounds) - 1, 2 * DIMS))
+    """Each text's token vectors pooled; zeros without tokens.
+
+    Mean and standard deviation, the mean cosine of tokens one and two apart, and the logarithm of their number.
+    """
+    out = np.zeros((len(bounds) - 1, FEATURES))
     n = np.diff(bounds)
     full = np.flatnonzero(n > 0)
     if len(full):
+        text = np.repeat(np.arange(len(n)), n)
+        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        for reach in range(1, REACH + 1):
+            near = np.flatnonzero(text[reach:] == text[:-reach])
+            cosine = np.einsum("ij,ij->i", unit[found[near]], unit[found[near + reach]])
+            sums = np.bincount(text[near], weights=cosine, minlength=len(n))
+            out[:, 2 * DIMS + reach - 1] = sums / np.maximum(n - reach, 1)
+        out[:, -1] = np.log1p(n)
         rows = vectors[found].astype(np.float64)
         mean = np.add.reduceat(rows, bounds[full], axis=0) / n[full, None]
         square = np.add.reduceat(rows * rows, bounds[full], axis=0) / n[full, None]
-        out[full, :DIMS], out[full, DIMS:] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
+        out[full, :DIMS], out[full, DIMS : 2 * DIMS] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
     return out
 
 
@@ -154,13 +166,13 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
     """Fit by Adam on four fifths of the rows and the temperature on the rest; without rows, scores are 0.5."""
     random = np.random.default_rng(seed)
     if not len(x):
-        return Network(np.zeros(2 * DIMS), np.ones(2 * DIMS), [np.zeros((2 * DIMS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)])
+        return Network(np.zeros(FEATURES), np.ones(FEATURES), [np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)])
     order = random.permutation(len(x))
     rest, main = order[: len(x) // 5], order[len(x) // 5 :]
     net = Network(
         x[main].mean(axis=0),
         x[main].std(axis=0) + 1e-6,
-        [random.normal(0, (2 * DIMS) ** -0.5, (2 * DIMS, HIDDEN)), np.zeros(HIDDEN), random.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)],
+        [random.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), random.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)],
     )
     z, moments, step = (x - net.shift) / net.scale, [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights], 0
     for epoch in range(EPOCHS):
@@ -218,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     quality = chosen.select("doc_id", "quality").collect()
     known = {r["doc_id"]: r["quality"] for r in quality}
     rows = sorted({(r["doc_id"], bytes(r["features"])) for r in _features(picked.select("doc_id", "text"), vectors).collect()})
-    x = np.array([np.frombuffer(f, np.float64) for _, f in rows]).reshape(len(rows), 2 * DIMS)
+    x = np.array([np.frombuffer(f, np.float64) for _, f in rows]).reshape(len(rows), FEATURES)
     return vectors, train(x, np.array([known[i] for i, _ in rows], dtype=float))
 
 

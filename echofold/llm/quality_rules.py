@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echofold.llm.suffixes import suffix_order
 from echofold.llm.words import SPACE, many_word_hashes
 
 #: Fixed values of the contract.
@@ -45,34 +46,7 @@ def longest_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ids = np.unique(words, return_inverse=True)[1].astype(np.int64)
     end = np.searchsorted(text, text, side="right")
-    key = text.astype(np.int64) * n + ids
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    slot = np.arange(n)
-
-    def class_starts(k: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, len(k)))
-        return np.repeat(where[heads], sizes), np.repeat(sizes > 1, sizes)
-
-    rank = np.empty(n, np.int64)
-    starts, tied = class_starts(sorted_key, slot)
-    rank[order] = starts
-    levels = [rank.astype(np.int32)]
-    active, step = slot[tied], 1
-    while len(active):
-        at = order[active]
-        ahead = at + step
-        second = np.where(ahead < end[at], rank[np.minimum(ahead, n - 1)], -1)
-        key = rank[at] * (n + 1) + second + 1
-        by = np.argsort(key, kind="stable")
-        order[active] = at[by]
-        starts, tied = class_starts(key[by], active)
-        rank[at[by]] = starts
-        levels.append(rank.astype(np.int32))
-        active, step = active[tied], step * 2
+    order, levels = suffix_order(text.astype(np.int64) * n + ids, end, 1)
     a, b = order[:-1], order[1:]
     common = np.zeros(max(n - 1, 0), np.int64)
     for k in reversed(range(len(levels))):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from echofold.llm.bpe import op8_chunk_reuse_bpe
 from echofold.llm.media import op2_netpbm_media
+from echofold.llm.minhash import op4_circulant_minhash
 from echofold.llm.mixing import op3_block_source_mixing
+from echofold.llm.quality_model import op5_random_indexing_quality
+from echofold.llm.quality_rules import op6_suffix_array_repetition
 from echofold.llm.sharding import op1_balanced_label_propagation
+from echofold.llm.substring_dedup import op10_run_length_substring_dedup
 from echofold.llm.url_filter import op9_link_graph_url_filter
 
 QUERIES = {
@@ -13,7 +18,12 @@ QUERIES = {
         op1_balanced_label_propagation,
         op2_netpbm_media,
         op3_block_source_mixing,
+        op4_circulant_minhash,
+        op5_random_indexing_quality,
+        op6_suffix_array_repetition,
+        op8_chunk_reuse_bpe,
         op9_link_graph_url_filter,
+        op10_run_length_substring_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from echofold.llm.bpe import op8_chunk_reuse_bpe
+from echofold.llm.language_id import op7_evidence_fusion_language_id
 from echofold.llm.media import op2_netpbm_media
 from echofold.llm.minhash import op4_circulant_minhash
 from echofold.llm.mixing import op3_block_source_mixing
@@ -21,6 +22,7 @@ QUERIES = {
         op4_circulant_minhash,
         op5_random_indexing_quality,
         op6_suffix_array_repetition,
+        op7_evidence_fusion_language_id,
         op8_chunk_reuse_bpe,
         op9_link_graph_url_filter,
         op10_run_length_substring_dedup,

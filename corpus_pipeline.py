@@ -68,8 +68,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         # Of rows that repeat, one carries the spans of all.
         rows = rows.dropDuplicates(["key"])
     joined = rows.join(spans.drop("n").hint("shuffle_hash"), "key").drop("key")
-    at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +92,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 columns[at] = pa.array(texts, pa.string())
                 if chars is not None:
                     columns[chars] = pa.array([len(t) for t in texts], columns[chars].type)
-                yield pa.RecordBatch.from_arrays(columns, docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.select(*docs.columns, "turns").mapInArrow(take, docs.schema)
 

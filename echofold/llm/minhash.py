@@ -4,10 +4,13 @@ Two permutations make all coordinates of a signature: the first one scatters the
 circularly by k, gives coordinate k as its least value over the set. Documents that agree on all rows of a
 band meet in a bucket. Equal sets count once, as a class.
 
-A bucket isn't expanded into all its pairs. In rounds, each bucket checks its members against one leader, the smallest
-id that hasn't led yet, leaving out members that are known to be in the leader's component; the component then grows by the
-verified links. A bucket is done when all its members are in one component or all have led, so every pair that meets in a
-bucket is either checked on the full sets or already joined, and the components are the same as with all pairs.
+A bucket isn't expanded into all its pairs. Its members are first compared with one leader, which joins most of a group of
+copies. Whoever is not in the bucket's largest component then looks for its likest partner outside its own, some rounds long.
+Comparisons are made on a byte of each coordinate, by blocks of members in numpy, and
+only pairs whose signatures agree about as often as the limit asks are verified on the full sets (a pair at the limit
+fails that with a chance of about 1 in a million, as it fails to meet in any band). A last round does so for everyone who has such a
+partner left: it counts common shingles within the blocks and gives out nothing but verified links. So every pair that meets in a bucket is joined already,
+ruled out by its signatures or verified, and the components are the same as with all pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,12 @@ from echofold.llm.spark_util import cut
 from echofold.llm.words import many_word_hashes, mix64, shingle_set
 
 BANDS, ROWS = 28, 4
-#: Buckets of up to this many members check all their pairs at once.
-SMALL = 5
+#: Members that one task compares at a time: of those that look for partners, and of those among which they look.
+QUERIES, MEMBERS = 256, 2048
+#: Shingles of the members that one task verifies at a time, on average.
+SHINGLES = 1 << 20
+#: Rounds in which each looks for its likest partner only.
+LIKEST_ROUNDS = 3
 _STEP = np.uint32(0x9E3779B1)
 _SHIFTS = (np.arange(BANDS * ROWS, dtype=np.uint32) * _STEP)[:, None]
 _BAND_SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -66,24 +74,24 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set as a whole, and its band keys (null without shingles)."""
+    """doc_id, n_shingles, two hashes of the set as a whole, its band keys, and a byte of each coordinate (null without shingles)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _texts(batch):
-                n, one, two, bands = [], [], [], []
+                n, one, two, bands, signs = [], [], [], [], []
                 for hashes in many_word_hashes(texts, lower=True):
                     s = shingle_set(hashes, words)
+                    sign = signature(s) if len(s) else None
                     n.append(len(s))
                     one.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     two.append(int(np.bitwise_xor.reduce(mix64(s * np.uint64(3))).view(np.int64)) if len(s) else 0)
-                    bands.append(band_keys(signature(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
-                )
+                    bands.append(band_keys(sign) if len(s) else None)
+                    signs.append(sign.astype(np.uint8).tobytes() if len(s) else None)
+                arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sign"])
 
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sign binary")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -107,46 +115,144 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
+def _least_agreement(percent: int) -> int:
+    """Coordinates in which pairs at the limit agree, but for a chance of about one in a million."""
+    n, p = BANDS * ROWS, percent / 100
+    return int(n * p - 4.75 * (n * p * (1 - p)) ** 0.5)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells from rows that come sorted by ``cell``, their first column."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        cell = table.column(0).to_numpy()
+        # The last cell may go on in the next batch.
+        last = int(np.searchsorted(cell, cell[-1]))
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
+
+
+def _askers(table: pa.Table, percent: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Begin and end of the cell, an asker, and the rows it is to be compared with: other components, and sizes that may do."""
+    cell, asks, component, size = (table.column(k).to_numpy() for k in ("cell", "asks", "component", "n_shingles"))
+    asks = asks.astype(bool)
+    edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    for begin, end in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist()):
+        group = np.arange(begin, end)
+        among = group[~asks[begin:end]]
+        for q in group[asks[begin:end]]:
+            near = among[(component[among] != component[q]) & (100 * np.minimum(size[among], size[q]) >= percent * np.maximum(size[among], size[q]))]
+            if len(near):
+                yield begin, end, q, near
+
+
+def _ordered_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    a, b = np.concatenate(left or none), np.concatenate(right or none)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int, likest: bool, members_only: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose signatures may do, of each asker only the likest if asked; or (member, member) for all who are in one."""
+    least = _least_agreement(percent)
+    for table in _by_cell(batches):
+        member = table.column("member").to_numpy()
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(member), BANDS * ROWS)
+        left, right = [], []
+        for _, _, q, near in _askers(table, percent):
+            agree = (sign[near] == sign[q]).sum(axis=1)
+            if likest:
+                near, agree = near[[agree.argmax()]], agree[[agree.argmax()]]
+            near = near[agree >= least]
+            left.append(member[near] if members_only else np.repeat(member[q], len(near)))
+            right.append(member[near])
+            if members_only and len(near):
+                left.append(member[[q]])
+                right.append(member[[q]])
+        out = _ordered_pairs(left, right)
+        if members_only:
+            one = np.unique(out.column(0).to_numpy())
+            out = _ordered_pairs([one], [one])
+        yield out
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose full sets do."""
+    for table in _by_cell(batches):
+        member, size = table.column("member").to_numpy(), table.column("n_shingles").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        stops = sets.offsets.to_numpy()
+        left, right, now, ids, flags = [], [], -1, np.zeros(0, np.int64), np.zeros(0, bool)
+        for begin, end, q, near in _askers(table, percent):
+            if begin != now:
+                now, base = begin, stops[begin]
+                values, ids = np.unique(sets.values.to_numpy()[base : stops[end]], return_inverse=True)
+                flags = np.zeros(len(values), bool)
+            own = ids[stops[q] - base : stops[q + 1] - base]
+            flags[own] = True
+            # No set is empty, so each row's count is a sum over a stretch of its own.
+            common = np.add.reduceat(flags[ids], stops[begin:end] - base, dtype=np.int64)[near - begin]
+            flags[own] = False
+            near = near[100 * common >= percent * (size[near] + size[q] - common)]
+            left.append(np.repeat(member[q], len(near)))
+            right.append(member[near])
+        yield _ordered_pairs(left, right)
+
+
+def _cells(seen: DataFrame, slices, *columns: str) -> DataFrame:
+    """Rows (cell, asks, member, ...) sorted by cell: a bucket's askers are cut into blocks and its members into slices."""
+    row = ["asks", "member", "component", "n_shingles", *columns]
+    blocks, slices = F.ceil(F.col("n_asks") / QUERIES).cast("int"), F.ceil(slices).cast("int")
+    block, part = F.pmod(F.xxhash64("member", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("member", F.lit(2)), slices).cast("int")
+    among = seen.withColumn("asks", F.lit(False)).select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), part.alias("part"), *row)
+    ask = seen.where("asks").select("bucket", block.alias("block"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("part"), *row)
+    cells = ask.unionByName(among).select(F.xxhash64("bucket", "block", "part").alias("cell"), *row)
+    return cells.repartition("cell").sortWithinPartitions("cell", F.desc("asks"), "member")
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Component labels (node, component) of everything that is linked within buckets (bucket, member); None without links."""
-    links, labels, tested = None, None, None
-    active = members
+    """Component labels (node, component) of everything linked within buckets (bucket, member, n_shingles, sign); None without links."""
+    links, labels, tested, turn = None, None, None, 0
     while True:
-        if labels is None:
-            seen = active.withColumn("component", F.col("member"))
+        if turn == 0:
+            heads = members.groupBy("bucket").agg(F.min("member").alias("leader"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("n_asks"))
+            seen = members.join(heads, "bucket").withColumns({"component": F.col("member"), "asks": F.col("member") == F.col("leader")}).drop("leader")
+        else:
+            known = members if labels is None else members.join(labels.select(F.col("node").alias("member"), "component"), "member", "left")
+            known = known.withColumn("component", F.coalesce("component", "member") if labels is not None else F.col("member"))
+            parts = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("size"))
+            heads = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("size") / F.sum("k")).alias("mean_size"))
+            heads = heads.where("parts > 1").select("bucket", "n", "mean_size", (F.col("n") - F.col("main.k")).alias("n_asks"), F.col("main.component").alias("main"))
+            seen = known.join(heads, "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
+        by_count = _cells(seen, F.col("n") / MEMBERS, "sign")
+        if turn <= LIKEST_ROUNDS:
+            pairs = by_count.mapInArrow(lambda batches: _alike(batches, percent, turn > 0, False), "a long, b long").distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = cut(pairs)
+            found = _verified(pairs, sets, percent)
+            tested = pairs if tested is None else tested.unionByName(pairs)
         else:
-            known = labels.select(F.col("node").alias("member"), "component")
-            seen = active.join(known, "member", "left").withColumn("component", F.coalesce("component", "member"))
-        seen = cut(seen)
-        heads = (
-            seen.groupBy("bucket")
-            .agg(
-                F.min(F.struct("member", "component")).alias("leader"),
-                F.count(F.lit(1)).alias("n"),
-                F.min("component").alias("least"),
-                F.max("component").alias("most"),
-            )
-            .where("least < most")
-            .select("bucket", F.col("leader.member").alias("leader"), F.col("leader.component").alias("of_leader"), "n")
-        )
-        seen = cut(seen.join(heads, "bucket"))
-        few = seen.where(F.col("n") <= SMALL)
-        by_leader = seen.where((F.col("n") > SMALL) & (F.col("component") != F.col("of_leader"))).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        other = few.select("bucket", F.col("member").alias("b"), F.col("component").alias("of_b"))
-        in_few = few.select("bucket", F.col("member").alias("a"), F.col("component").alias("of_a")).join(other, "bucket").where("a < b and of_a <> of_b").select("a", "b")
-        pairs = by_leader.unionByName(in_few).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_verified(pairs, sets, percent))
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        if found.limit(1).count():
+            left = cut(by_count.mapInArrow(lambda batches: _alike(batches, percent, False, True), "a long, b long").select(F.col("a").alias("member")).distinct())
+            rest = seen.join(left, "member", "left_semi").join(sets.withColumnRenamed("doc_id", "member"), "member")
+            found = _cells(rest, F.col("n") * F.col("mean_size") / SHINGLES, "shingles").mapInArrow(lambda batches: _linked(batches, percent), "a long, b long").distinct()
+        found = cut(found)
+        any_found = bool(found.limit(1).count())
+        if any_found:
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        # Whoever has led has met all others; small buckets are done.
-        active = cut(seen.where((F.col("n") > SMALL) & (F.col("member") != F.col("leader"))).select("bucket", "member"))
-        if not active.limit(1).count():
+        if turn > LIKEST_ROUNDS:
             return labels
+        # Without new links a further look for the likest partners is in vain.
+        turn = turn + 1 if any_found or turn == 0 else LIKEST_ROUNDS + 1
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -161,21 +267,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut(_sketches(rows, words))
-    classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("member"), F.any_value("bands").alias("bands"))
+    classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("member"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign"))
     classes = cut(classes)
     entries = classes.select("member", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(entries.join(shared, "bucket", "left_semi"))
+    members = entries.join(shared, "bucket", "left_semi").join(classes.select("member", "n_shingles", "sign"), "member")
+    members = cut(members)
     candidates = members.select(F.col("member").alias("doc_id")).distinct()
-    sets = cut(_sets(rows.join(candidates, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
+    sets = _sets(rows.join(candidates, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"])
+    # Kept by doc_id on the executors' disks, so that no round shuffles them; what is lost is computed again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.repartition(parts, "doc_id").persist(StorageLevel.DISK_ONLY)
     labels = _links(members, sets, percent)
+    sets.unpersist()
     names = classes.select("n_shingles", "set_a", "set_b", "member")
     if labels is not None:
         names = names.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     else:
         names = names.withColumn("component", F.col("member"))
     names = names.drop("member")
-    out = sketches.drop("bands").join(names, ["n_shingles", "set_a", "set_b"], "left")
+    out = sketches.drop("bands", "sign").join(names, ["n_shingles", "set_a", "set_b"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 

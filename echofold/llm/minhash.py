@@ -32,6 +32,8 @@ BANDS, ROWS = 28, 4
 QUERIES, MEMBERS = 256, 2048
 #: Shingles of the members that one task verifies at a time, on average.
 SHINGLES = 1 << 20
+#: Size of the filter that keeps documents without candidates out of a shuffle.
+FILTER_BYTES = 4 << 20
 #: Rounds in which each looks for its likest partner only.
 LIKEST_ROUNDS = 3
 _STEP = np.uint32(0x9E3779B1)
@@ -74,7 +76,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set as a whole, its band keys, and a byte of each coordinate (null without shingles)."""
+    """doc_id, n_shingles, two hashes of the set as a whole, its band keys, and a byte of each coordinate with two of each band key (null without shingles)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +89,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                     one.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     two.append(int(np.bitwise_xor.reduce(mix64(s * np.uint64(3))).view(np.int64)) if len(s) else 0)
                     bands.append(band_keys(sign) if len(s) else None)
-                    signs.append(sign.astype(np.uint8).tobytes() if len(s) else None)
+                    signs.append(sign.astype(np.uint8).tobytes() + bands[-1].astype(np.uint16).tobytes() if len(s) else None)
                 arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sign"])
 
@@ -143,12 +145,11 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _askers(table: pa.Table, percent: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """Begin and end of the cell, an asker, and the rows it is to be compared with: other components, and sizes that may do."""
     cell, asks, component, size = (table.column(k).to_numpy() for k in ("cell", "asks", "component", "n_shingles"))
-    asks = asks.astype(bool)
     edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     for begin, end in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist()):
         group = np.arange(begin, end)
-        among = group[~asks[begin:end]]
-        for q in group[asks[begin:end]]:
+        among = group[asks[begin:end] != 1]
+        for q in group[asks[begin:end] > 0]:
             near = among[(component[among] != component[q]) & (100 * np.minimum(size[among], size[q]) >= percent * np.maximum(size[among], size[q]))]
             if len(near):
                 yield begin, end, q, near
@@ -161,27 +162,32 @@ def _ordered_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.Record
 
 
 def _alike(batches: Iterator[pa.RecordBatch], percent: int, likest: bool, members_only: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose signatures may do, of each asker only the likest if asked; or (member, member) for all who are in one."""
+    """Pairs (a, b) whose signatures may do, of each asker only the likest if asked; or (bucket, member) for all who are in one."""
     least = _least_agreement(percent)
     for table in _by_cell(batches):
         member = table.column("member").to_numpy()
-        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(member), BANDS * ROWS)
-        left, right = [], []
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(member), -1)
+        band = table.column("band").to_numpy()
+        left, right, buckets = [], [], []
         for _, _, q, near in _askers(table, percent):
-            agree = (sign[near] == sign[q]).sum(axis=1)
+            equal = sign[near] == sign[q]
+            agree = equal[:, : BANDS * ROWS].sum(axis=1)
+            if members_only:
+                # Who meets in an earlier band, too, is compared there.
+                earlier = equal[:, : band[q] * ROWS].reshape(len(near), -1, ROWS).all(axis=2) & equal[:, BANDS * ROWS : BANDS * ROWS + 2 * band[q]].reshape(len(near), -1, 2).all(axis=2)
+                near, agree = near[~earlier.any(axis=1)], agree[~earlier.any(axis=1)]
             if likest:
                 near, agree = near[[agree.argmax()]], agree[[agree.argmax()]]
             near = near[agree >= least]
-            left.append(member[near] if members_only else np.repeat(member[q], len(near)))
+            if members_only:
+                buckets += [near, [q]] if len(near) else []
+            left.append(np.repeat(member[q], len(near)))
             right.append(member[near])
-            if members_only and len(near):
-                left.append(member[[q]])
-                right.append(member[[q]])
-        out = _ordered_pairs(left, right)
         if members_only:
-            one = np.unique(out.column(0).to_numpy())
-            out = _ordered_pairs([one], [one])
-        yield out
+            rows = np.unique(np.concatenate(buckets)) if buckets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[rows], pa.int64()) for c in ("bucket", "member")], ["bucket", "member"])
+        else:
+            yield _ordered_pairs(left, right)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -208,18 +214,24 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _cells(seen: DataFrame, slices, *columns: str) -> DataFrame:
-    """Rows (cell, asks, member, ...) sorted by cell: a bucket's askers are cut into blocks and its members into slices."""
-    row = ["asks", "member", "component", "n_shingles", *columns]
+    """Rows (cell, asks, member, ...) sorted by cell: a bucket's askers are cut into blocks and its members into slices.
+
+    asks: 0 for members among whom askers look, 1 for askers, 2 for both at once where the bucket is a single cell.
+    """
+    row = ["bucket", "member", "component", "n_shingles", *columns]
     blocks, slices = F.ceil(F.col("n_asks") / QUERIES).cast("int"), F.ceil(slices).cast("int")
-    block, part = F.pmod(F.xxhash64("member", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("member", F.lit(2)), slices).cast("int")
-    among = seen.withColumn("asks", F.lit(False)).select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), part.alias("part"), *row)
-    ask = seen.where("asks").select("bucket", block.alias("block"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("part"), *row)
-    cells = ask.unionByName(among).select(F.xxhash64("bucket", "block", "part").alias("cell"), *row)
+    cut_up = seen.withColumns({"blocks": blocks, "slices": slices}).withColumn("one", (F.col("blocks") == 1) & (F.col("slices") == 1))
+    block, part = F.pmod(F.xxhash64("member", F.lit(1)), "blocks").cast("int"), F.pmod(F.xxhash64("member", F.lit(2)), "slices").cast("int")
+    among = cut_up.where("not one or not asks").select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(0).alias("asks"), *row)
+    ask = cut_up.where("asks").select(
+        block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), F.when(F.col("one"), 2).otherwise(1).alias("asks"), *row
+    )
+    cells = ask.unionByName(among).select(F.xxhash64("bucket", "block", "part").alias("cell"), "asks", *row)
     return cells.repartition("cell").sortWithinPartitions("cell", F.desc("asks"), "member")
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Component labels (node, component) of everything linked within buckets (bucket, member, n_shingles, sign); None without links."""
+    """Component labels (node, component) of everything linked within buckets (bucket, member, n_shingles, sign, band); None without links."""
     links, labels, tested, turn = None, None, None, 0
     while True:
         if turn == 0:
@@ -232,7 +244,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
             heads = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("size") / F.sum("k")).alias("mean_size"))
             heads = heads.where("parts > 1").select("bucket", "n", "mean_size", (F.col("n") - F.col("main.k")).alias("n_asks"), F.col("main.component").alias("main"))
             seen = known.join(heads, "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
-        by_count = _cells(seen, F.col("n") / MEMBERS, "sign")
+        by_count = _cells(seen, F.col("n") / MEMBERS, "sign", "band")
         if turn <= LIKEST_ROUNDS:
             pairs = by_count.mapInArrow(lambda batches: _alike(batches, percent, turn > 0, False), "a long, b long").distinct()
             if tested is not None:
@@ -241,8 +253,8 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
             found = _verified(pairs, sets, percent)
             tested = pairs if tested is None else tested.unionByName(pairs)
         else:
-            left = cut(by_count.mapInArrow(lambda batches: _alike(batches, percent, False, True), "a long, b long").select(F.col("a").alias("member")).distinct())
-            rest = seen.join(left, "member", "left_semi").join(sets.withColumnRenamed("doc_id", "member"), "member")
+            left = cut(by_count.mapInArrow(lambda batches: _alike(batches, percent, False, True), "bucket long, member long").distinct())
+            rest = seen.drop("sign", "band").join(left, ["bucket", "member"], "left_semi").join(sets.withColumnRenamed("doc_id", "member"), "member")
             found = _cells(rest, F.col("n") * F.col("mean_size") / SHINGLES, "shingles").mapInArrow(lambda batches: _linked(batches, percent), "a long, b long").distinct()
         found = cut(found)
         any_found = bool(found.limit(1).count())
@@ -255,6 +267,18 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         turn = turn + 1 if any_found or turn == 0 else LIKEST_ROUNDS + 1
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows without most of those whose doc_id is not in ``ids``, so that a join has less to shuffle.
+
+    A bit for each hash value stands for the ids; the table of bits has FILTER_BYTES in rows of 4 KB, however many ids there are.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(8 * FILTER_BYTES))
+    bits = ids.select(F.bitmap_bucket_number(bit).alias("chunk"), F.bitmap_bit_position(bit).alias("at")).groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
+    found = rows.withColumns({"chunk": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(cut(bits)), "chunk")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents (doc_id, text) under 100 * intersection >= percent * union of word shingles.
 
@@ -269,15 +293,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketches = cut(_sketches(rows, words))
     classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("member"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign"))
     classes = cut(classes)
-    entries = classes.select("member", F.explode("bands").alias("bucket"))
+    entries = classes.select("member", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = entries.join(shared, "bucket", "left_semi").join(classes.select("member", "n_shingles", "sign"), "member")
     members = cut(members)
     candidates = members.select(F.col("member").alias("doc_id")).distinct()
-    sets = _sets(rows.join(candidates, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"])
+    sets = _sets(_maybe_in(rows, candidates).join(candidates, "doc_id", "left_semi"), words)
     # Kept by doc_id on the executors' disks, so that no round shuffles them; what is lost is computed again.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = sets.repartition(parts, "doc_id").persist(StorageLevel.DISK_ONLY)
+    sets = sets.repartition(parts, "doc_id").dropDuplicates(["doc_id"]).persist(StorageLevel.DISK_ONLY)
     labels = _links(members, sets, percent)
     sets.unpersist()
     names = classes.select("n_shingles", "set_a", "set_b", "member")

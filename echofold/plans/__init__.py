@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from echofold.plans import association_queries, relational_queries, temporal_queries
+
+FLAGSHIP = "coactivity_bins"
+QUERIES = {**temporal_queries.QUERIES, **relational_queries.QUERIES, **association_queries.QUERIES}
+ORACLE_SQL = {**temporal_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL}

@@ -22,7 +22,6 @@ def query(sql: str):
     return add
 
 
-one = F.lit(1)
 UNIT = "chr(31)"
 
 
@@ -115,7 +114,7 @@ def superseded_semi(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O') GROUP BY 1")
 def orphan_identities(spark, sf_dir):
     known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count(one).alias("n"))
+    return table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CAST(n_chars > 1000 AS INTEGER) AS priority FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY priority DESC, doc_id LIMIT 100")
@@ -143,7 +142,7 @@ def first_wins_persist(spark, sf_dir):
 )
 def reconcile_full_outer(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 3").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").alias("p"))
-    s = table(spark, sf_dir, "lineitem").where("l_linenumber < 6").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(one).alias("n"), F.sum("l_quantity").alias("q"))
+    s = table(spark, sf_dir, "lineitem").where("l_linenumber < 6").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     return R.reconcile(o, s, ["k"], lambda l, r: [((l("st") == "F") & (r("n") > 3), "state_differs"), (r("q") * 5000 < l("p"), "value_differs")])
 
 
@@ -170,7 +169,7 @@ def dual_write_classes(spark, sf_dir):
 def bucket_digests(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
-    return o.groupBy("o_orderpriority", day).agg(R.sequence_digest(F.col("o_orderkey"), F.col("o_orderkey").cast("string")).alias("digest"), F.count(one).alias("n"))
+    return o.groupBy("o_orderpriority", day).agg(R.sequence_digest(F.col("o_orderkey"), F.col("o_orderkey").cast("string")).alias("digest"), F.count("*").alias("n"))
 
 
 @query(
@@ -183,7 +182,7 @@ def membership_vs_order_digest(spark, sf_dir):
 @query("SELECT o_custkey, count(*) AS n, list(o_orderkey ORDER BY o_orderkey) AS members, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1 HAVING count(*) > 1")
 def uid_collisions(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy("o_custkey")
-    return g.agg(F.count(one).alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("members"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id")).where("n > 1")
+    return g.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("members"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id")).where("n > 1")
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_bodies FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
@@ -197,14 +196,14 @@ def identity_conflicts(spark, sf_dir):
 )
 def aggregate_compare_k_anon(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
-    a = l.groupBy("l_suppkey").agg(F.count(one).alias("n"), F.avg("l_quantity").alias("v"))
-    b = l.where("l_suppkey % 9 <> 0").groupBy("l_suppkey").agg(F.count(one).alias("n"), F.avg(F.expr("if(l_suppkey % 4 = 0, l_quantity + 1, l_quantity)")).alias("v"))
+    a = l.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("v"))
+    b = l.where("l_suppkey % 9 <> 0").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg(F.expr("if(l_suppkey % 4 = 0, l_quantity + 1, l_quantity)")).alias("v"))
     return R.compare_cells(a, b, ["l_suppkey"], "v", 0.5, 5)
 
 
 @query("SELECT user_id, event_type, CASE WHEN count(*) >= 5 THEN count(*) END AS n, CASE WHEN count(*) >= 5 THEN round(sum(value), 2) END AS total, count(*) < 5 AS is_suppressed FROM events GROUP BY 1, 2")
 def suppressed_cells(spark, sf_dir):
-    cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(one).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return R.suppressed(cells, "n", 5, "total")
 
 
@@ -249,20 +248,20 @@ def claim_due(spark, sf_dir):
 )
 def export_slices(spark, sf_dir):
     s = R.rank_slices(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], 20)
-    return s.groupBy("user_id", "slice").agg(F.count(one).alias("n"), R.sequence_digest(F.col("event_id"), F.col("event_id").cast("string")).alias("digest"))
+    return s.groupBy("user_id", "slice").agg(F.count("*").alias("n"), R.sequence_digest(F.col("event_id"), F.col("event_id").cast("string")).alias("digest"))
 
 
 @query("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'O') AS n_open, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'refuse' ELSE 'drop' END AS action FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")
 def daily_retention_plan(spark, sf_dir):
     old = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz'1997-01-01'")
-    g = old.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count(one).alias("n_rows"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
+    g = old.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
     return g.withColumn("action", F.when(F.col("n_open") > 0, "refuse").otherwise("drop"))
 
 
 @query("SELECT count(*) AS n_records, count(*) FILTER (o_orderstatus = 'O') AS n_pending, min(epoch_us(o_orderdate)) FILTER (o_orderstatus = 'O') AS oldest_pending, max(epoch_us(o_orderdate)) AS newest FROM orders")
 def health_snapshot(spark, sf_dir):
     o, t, pending = table(spark, sf_dir, "orders"), micros("o_orderdate"), F.col("o_orderstatus") == "O"
-    return o.agg(F.count(one).alias("n_records"), F.count_if(pending).alias("n_pending"), F.min(F.when(pending, t)).alias("oldest_pending"), F.max(t).alias("newest"))
+    return o.agg(F.count("*").alias("n_records"), F.count_if(pending).alias("n_pending"), F.min(F.when(pending, t)).alias("oldest_pending"), F.max(t).alias("newest"))
 
 
 @query(
@@ -270,20 +269,20 @@ def health_snapshot(spark, sf_dir):
 )
 def pool_stats(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 5)
-    return e.groupingSets([["event_type"], ["grp"], ["event_type", "grp"], []], "event_type", "grp").agg(F.col("event_type"), F.col("grp"), F.count(one).alias("n"), F.count_distinct("user_id").alias("n_nodes")).select("event_type", "grp", "n", "n_nodes")
+    return e.groupingSets([["event_type"], ["grp"], ["event_type", "grp"], []], "event_type", "grp").agg(F.col("event_type"), F.col("grp"), F.count("*").alias("n"), F.count_distinct("user_id").alias("n_nodes")).select("event_type", "grp", "n", "n_nodes")
 
 
 @query("WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1) SELECT event_type, any_value(med) AS median, median(abs(value - med)) AS mad, count(*) AS n FROM events JOIN m USING (event_type) GROUP BY 1")
 def latency_fit(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     m = e.groupBy("event_type").agg(F.median("value").alias("med"))
-    return e.join(m, "event_type").groupBy("event_type").agg(F.any_value("med").alias("median"), F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"), F.count(one).alias("n"))
+    return e.join(m, "event_type").groupBy("event_type").agg(F.any_value("med").alias("median"), F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"), F.count("*").alias("n"))
 
 
 @query(f"WITH {DETS}, b AS (SELECT node, t // {DAY} AS day, median(value) AS m FROM d GROUP BY 1, 2) SELECT node, count(*) AS n_blocks, round(median(m), 6) AS centre, CASE WHEN count(*) >= 3 THEN round(stddev_pop(m), 6) END AS sigma FROM b GROUP BY 1")
 def survey_medians(spark, sf_dir):
     b = detections(spark, sf_dir).groupBy("node", F.floor(F.col("t") / DAY).alias("day")).agg(F.median("value").alias("m"))
-    return b.groupBy("node").agg(F.count(one).alias("n_blocks"), F.round(F.median("m"), 6).alias("centre"), F.when(F.count(one) >= 3, F.round(F.stddev_pop("m"), 6)).alias("sigma"))
+    return b.groupBy("node").agg(F.count("*").alias("n_blocks"), F.round(F.median("m"), 6).alias("centre"), F.when(F.count("*") >= 3, F.round(F.stddev_pop("m"), 6)).alias("sigma"))
 
 
 @query(f"WITH {DETS}, l AS (SELECT node, max(t) AS t, arg_max(value, t) AS v FROM d GROUP BY 1) SELECT count(*) AS n_fresh, round(avg(v), 6) AS mean, round(var_samp(v), 6) AS variance FROM l WHERE t >= (SELECT max(t) FROM d) - {24 * HOUR}")
@@ -292,7 +291,7 @@ def fleet_temperature(spark, sf_dir):
     last = d.groupBy("node").agg(F.max(F.struct("t", "value")).alias("b")).select("b.t", "b.value")
     newest = F.broadcast(d.agg(F.max("t").alias("newest")))
     fresh = last.join(newest, F.col("t") >= F.col("newest") - 24 * HOUR)
-    return fresh.agg(F.count(one).alias("n_fresh"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_samp("value"), 6).alias("variance"))
+    return fresh.agg(F.count("*").alias("n_fresh"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_samp("value"), 6).alias("variance"))
 
 
 @query(
@@ -327,7 +326,7 @@ def stratified_rounds(spark, sf_dir):
 def merged_sources(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("body"), "page_id")
     both = p.unionByName(p.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 100000))
-    return both.groupBy("body").agg(F.min("page_id").alias("first_id"), F.count(one).alias("arrivals"))
+    return both.groupBy("body").agg(F.min("page_id").alias("first_id"), F.count("*").alias("arrivals"))
 
 
 @query(f"SELECT event_id, left(sha256(concat(event_type, {UNIT}, CAST(user_id AS VARCHAR), {UNIT}, CAST(event_id AS VARCHAR), {UNIT}, coalesce(props, ''))), 32) AS key FROM events")

@@ -5,7 +5,7 @@ circularly by k, gives coordinate k as its least value over the set. Documents t
 band meet in a bucket. Equal sets count once, as a class.
 
 A bucket isn't expanded into all its pairs. Its members are first compared with one leader, which joins most of a group of
-copies. Whoever is not in the bucket's largest component then looks for its likest partner outside its own, some rounds long.
+copies. Where many are left outside the bucket's largest component, each then looks for its likest partner outside its own.
 Comparisons are made on a byte of each coordinate, by blocks of members in numpy, and
 only pairs whose signatures agree about as often as the limit asks are verified on the full sets (a pair at the limit
 fails that with a chance of about 1 in a million, as it fails to meet in any band). A last round does so for everyone who has such a
@@ -34,8 +34,9 @@ QUERIES, MEMBERS = 256, 2048
 SHINGLES = 1 << 20
 #: Size of the filter that keeps documents without candidates out of a shuffle.
 FILTER_BYTES = 4 << 20
-#: Rounds in which each looks for its likest partner only.
-LIKEST_ROUNDS = 3
+#: Rounds, at most, in which each looks for its likest partner only, before the one that takes all partners. They pay where the
+#: members of buckets would meet more than MOST_BLOCKS blocks of askers on average; they change the work, never the result.
+LIKEST_ROUNDS, MOST_BLOCKS = 3, 4
 _STEP = np.uint32(0x9E3779B1)
 _SHIFTS = (np.arange(BANDS * ROWS, dtype=np.uint32) * _STEP)[:, None]
 _BAND_SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -232,7 +233,7 @@ def _cells(seen: DataFrame, slices, *columns: str) -> DataFrame:
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Component labels (node, component) of everything linked within buckets (bucket, member, n_shingles, sign, band); None without links."""
-    links, labels, tested, turn = None, None, None, 0
+    links, labels, turn = None, None, 0
     while True:
         if turn == 0:
             heads = members.groupBy("bucket").agg(F.min("member").alias("leader"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("n_asks"))
@@ -244,14 +245,15 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
             heads = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("size") / F.sum("k")).alias("mean_size"))
             heads = heads.where("parts > 1").select("bucket", "n", "mean_size", (F.col("n") - F.col("main.k")).alias("n_asks"), F.col("main.component").alias("main"))
             seen = known.join(heads, "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
+        last = False
+        if turn:
+            seen = cut(seen)
+            blocks = seen.agg(F.avg(F.ceil(F.col("n_asks") / QUERIES))).first()[0]
+            last = turn > LIKEST_ROUNDS or (blocks or 0) <= MOST_BLOCKS
         by_count = _cells(seen, F.col("n") / MEMBERS, "sign", "band")
-        if turn <= LIKEST_ROUNDS:
+        if not last:
             pairs = by_count.mapInArrow(lambda batches: _alike(batches, percent, turn > 0, False), "a long, b long").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
             found = _verified(pairs, sets, percent)
-            tested = pairs if tested is None else tested.unionByName(pairs)
         else:
             left = cut(by_count.mapInArrow(lambda batches: _alike(batches, percent, False, True), "bucket long, member long").distinct())
             rest = seen.drop("sign", "band").join(left, ["bucket", "member"], "left_semi").join(sets.withColumnRenamed("doc_id", "member"), "member")
@@ -261,10 +263,10 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         if any_found:
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        if turn > LIKEST_ROUNDS:
+        if last:
             return labels
         # Without new links a further look for the likest partners is in vain.
-        turn = turn + 1 if any_found or turn == 0 else LIKEST_ROUNDS + 1
+        turn = turn + 1 if any_found else LIKEST_ROUNDS + 1
 
 
 def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from echofold.plans import association_queries, relational_queries, temporal_queries
+from echofold.plans import association_queries, horizon_queries, relational_queries, temporal_queries
 
 FLAGSHIP = "coactivity_bins"
-QUERIES = {**temporal_queries.QUERIES, **relational_queries.QUERIES, **association_queries.QUERIES}
-ORACLE_SQL = {**temporal_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL}
+QUERIES = {**temporal_queries.QUERIES, **relational_queries.QUERIES, **association_queries.QUERIES, **horizon_queries.QUERIES}
+ORACLE_SQL = {**temporal_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL, **horizon_queries.ORACLE_SQL}

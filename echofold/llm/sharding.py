@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.spark_util import cut, global_rank, text_or_empty
+from echofold.llm.spark_util import cut, global_rank, ordered, text_or_empty
 
 #: Steps into which a quota's last, partly admitted bin is cut.
 FRACTION = 10_000
@@ -82,6 +82,62 @@ def _propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     )
 
 
+def _in_blocks(linked: DataFrame, groups: DataFrame, target: list[int]) -> DataFrame:
+    """Rows (..., hub) with hub as (hub, block): a group larger than a shard is cut into blocks of a shard's size and a rest."""
+    small, most = max(1, min(target)), max(target)
+    # Fewer than shards groups are larger than a shard.
+    hot, wide, found = groups.where(F.col("n") > most).orderBy(F.desc("n"), "hub").select("hub", "n").collect(), target.count(most) if most > small else 0, []
+    for r in hot:
+        blocks = min(wide, r["n"] // most)
+        wide -= blocks
+        found.append((r["hub"], blocks))
+    one = F.struct("hub", F.lit(0).cast("long").alias("block"))
+    if not found:
+        return linked.withColumn("hub", one)
+    kind = groups.schema["hub"].dataType.simpleString()
+    wides = F.broadcast(linked.sparkSession.createDataFrame(found, f"hub {kind}, wide long"))
+    ranked = cut(global_rank(linked.join(wides, "hub"), "hub", "doc_id"))
+    first = ranked.groupBy("hub").agg(F.min("_rank").alias("_first"))
+    at, of_wide = F.col("_rank") - F.col("_first"), F.col("wide") * most
+    block = F.when(at < of_wide, F.floor(at / most)).otherwise(F.col("wide") + F.floor((at - of_wide) / small)).cast("long")
+    cut_up = ranked.join(F.broadcast(first), "hub").withColumn("hub", F.struct("hub", block.alias("block"))).drop("_rank", "_first", "wide")
+    return linked.join(wides, "hub", "left_anti").withColumn("hub", one).unionByName(cut_up)
+
+
+def _settle(cells: DataFrame, target: list[int]) -> DataFrame | None:
+    """(hub, to) of the groups that fit whole, from rows (hub, label, n); no shard gets more than its target."""
+    groups = cut(
+        cells.groupBy("hub")
+        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("held"))
+        .withColumn("size_class", F.floor(F.log2(F.lit(float(max(target))) / F.col("n")) / 3))
+    )
+    room, placed = list(target), None
+    for size_class in sorted(r[0] for r in groups.select("size_class").distinct().collect()):
+        left = groups.where(F.col("size_class") == size_class)
+        while True:
+            free = F.array(*[F.lit(r).cast("long") for r in room])
+            fits = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.element_at(free, s + 1) >= F.col("n"))
+            wish = F.array_max(F.transform(fits, lambda s: F.struct(F.coalesce(F.try_element_at("held", s), F.lit(0)).alias("own"), F.xxhash64("hub", s).alias("tie"), s.alias("to"))))
+            wishes = left.withColumn("wish", wish).where("wish is not null").select("hub", "n", "held", F.col("wish.to").alias("to"), (-F.col("n")).alias("by_n"), (-F.col("wish.own")).alias("by_own"))
+            rows = ordered(wishes, "to", "by_n", "by_own", "hub")
+            sums = rows.groupBy("_part", "to").agg(F.sum("n").alias("sum"))
+            before = sums.select("_part", "to", F.coalesce(F.sum("sum").over(Window.partitionBy("to").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+            used = F.col("before") + F.sum("n").over(Window.partitionBy("_part", "to").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0))
+            dealt = cut(rows.join(F.broadcast(before), ["_part", "to"]).select("hub", "n", "held", "to", (used <= F.element_at(free, F.col("to") + 1)).alias("in")))
+            # One row a shard comes to the driver.
+            counts = dealt.groupBy("to").agg(F.sum(F.when(F.col("in"), F.col("n")).otherwise(0)).alias("n"), F.count_if(~F.col("in")).alias("out")).collect()
+            if not counts:
+                break
+            some = dealt.where("in").select("hub", "to")
+            placed = some if placed is None else placed.unionByName(some)
+            for r in counts:
+                room[r["to"]] -= r["n"]
+            if not sum(r["out"] for r in counts):
+                break
+            left = dealt.where("not in").drop("to", "in")
+    return placed
+
+
 def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, hub=None) -> DataFrame:
     """Deal ``docs`` (doc_id, text) into shards whose row counts differ by one at most.
 
@@ -90,7 +146,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, hub=None)
 
     A null text counts as no bytes, has the checksum of no bytes and is linked with other null texts
     only. Rows that repeat are rows of their own and are linked. A group larger than a shard is
-    split over several. An empty table gives an empty result. Other columns are ignored.
+    split over as few as hold it; another one only where no shard has room left for it when its turn comes.
+    ``rounds`` is of the rounds by quotas; groups then settle until none fits. An empty table gives an empty result. Other columns are ignored.
     """
     text = text_or_empty()
     rows = cut(
@@ -102,18 +159,22 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, hub=None)
         )
     )
     total = rows.count()
-    groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", F.lit(True).alias("linked"))
-    marked = cut(rows.join(groups, "hub", "left"))
+    sizes = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marked = cut(rows.join(sizes.select("hub", F.lit(True).alias("linked")), "hub", "left"))
+    target = [total // shards + (s < total % shards) for s in range(shards)]
     linked = marked.where("linked").drop("linked").withColumn("label", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    linked = cut(_in_blocks(linked, sizes, target)) if total else linked.withColumn("hub", F.struct("hub", F.lit(0).cast("long").alias("block")))
     for _ in range(rounds):
         linked = cut(_propagate(linked, shards, -(-total // shards)))
-    alone = marked.where("linked is null").drop("linked").withColumn("label", F.lit(shards))
+    placed = _settle(linked.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n")), target) if total else None
+    if placed is not None:
+        linked = linked.join(placed, "hub", "left").withColumn("label", F.coalesce("to", F.lit(shards))).drop("to")
+    alone = marked.where("linked is null").drop("linked").withColumns({"label": F.lit(shards), "hub": F.struct("hub", F.lit(0).cast("long").alias("block"))})
 
-    everything = linked.select("doc_id", "size", "text_crc32", "hub", "label").unionByName(alone)
+    everything = cut(linked.select("doc_id", "size", "text_crc32", "hub", "label").unionByName(alone.select("doc_id", "size", "text_crc32", "hub", "label")))
     ranked = global_rank(everything, "label", "hub", "doc_id")
     # shards + 1 counts come to the driver.
     held = {r["label"]: r["n"] for r in everything.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    target = [total // shards + (s < total % shards) for s in range(shards)]
     start, spilled, stay = [0], [0], []
     for s in range(shards):
         n = held.get(s, 0)

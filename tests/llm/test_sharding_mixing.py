@@ -32,6 +32,29 @@ def test_group_larger_than_a_shard_is_split(spark):
     assert Counter(r.shard for r in out) == {0: 25, 1: 25, 2: 25, 3: 25}
 
 
+def test_hot_group_beside_many_small_ones(spark):
+    """A third of the rows is one text, 900 rows are in groups of three: no small group is split, the hot one takes as few shards as hold it."""
+    texts = ["hot"] * 2000 + [f"g{i % 300}" for i in range(900)] + [f"t{i}" for i in range(3100)]
+    out = balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=8).collect()
+    assert Counter(r.shard for r in out) == dict.fromkeys(range(8), 750)
+    by_text = defaultdict(set)
+    for r in out:
+        by_text[texts[r.doc_id]].add(r.shard)
+    assert len(by_text["hot"]) == 3
+    assert sum(len(v) > 1 for t, v in by_text.items() if t[0] == "g") == 0
+
+
+def test_no_group_is_split_where_all_fit(spark):
+    """No row is without links: what fits no best shard goes whole to another, large groups first."""
+    texts = [f"large{i}" for i in range(8) for _ in range(300)] + [f"g{i}" for i in range(400) for _ in range(3)]
+    out = balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=8).collect()
+    assert Counter(r.shard for r in out) == dict.fromkeys(range(8), 450)
+    by_text = defaultdict(set)
+    for r in out:
+        by_text[texts[r.doc_id]].add(r.shard)
+    assert sum(len(v) > 1 for v in by_text.values()) == 0
+
+
 def test_no_documents_give_no_shards(no_docs):
     assert balanced_shards(no_docs).count() == 0
 

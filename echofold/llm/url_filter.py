@@ -23,6 +23,8 @@ RULES = (
     ("block", "example.com/de/"),
     ("allow", "org/fr/"),
 )
+#: The walks end when trust and distrust change by less than this share of their seeds, summed over hosts and over CUT steps.
+TOLERANCE, CUT = 1e-7, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
@@ -57,7 +59,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"))
 
 
-def _walks(edges: DataFrame, seeds: DataFrame, damping: float, steps: int) -> DataFrame:
+def _walks(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """host, trust, distrust: both start from ``seeds`` (the same columns) and sum to the seeds' sums.
 
     What reaches hosts without further edges starts again at the seeds; scaling at the end has that effect.
@@ -70,23 +72,28 @@ def _walks(edges: DataFrame, seeds: DataFrame, damping: float, steps: int) -> Da
             )
         )
     )
-    state = seeds
-    for step in range(steps):
-        moved = both.join(state, "host").select(
-            F.col("to").alias("host"),
-            (F.col("trust") * F.col("forward") * damping).alias("trust"),
-            (F.col("distrust") * F.col("backward") * damping).alias("distrust"),
-        )
-        restart = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-        state = moved.unionByName(restart).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if step % 4 == 3 or step == steps - 1:
-            state = cut(state)
-    full, now = (t.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first() for t in (seeds, state))
+    state, settled = seeds, False
+    full = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
+    while not settled:
+        last = state
+        for _ in range(CUT):
+            moved = both.join(state, "host").select(
+                F.col("to").alias("host"),
+                (F.col("trust") * F.col("forward") * damping).alias("trust"),
+                (F.col("distrust") * F.col("backward") * damping).alias("distrust"),
+            )
+            restart = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+            state = moved.unionByName(restart).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        state = cut(state)
+        both_times = state.select("host", "trust", "distrust").unionByName(last.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
+        change = both_times.groupBy("host").agg(F.abs(F.sum("trust")).alias("t"), F.abs(F.sum("distrust")).alias("d")).agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
+        settled = all((change[k] or 0.0) <= tolerance * (full[k] or 0.0) for k in ("t", "d"))
+    now = state.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     scale = [(a or 0.0) / b if b else 0.0 for a, b in ((full["t"], now["t"]), (full["d"], now["d"]))]
     return state.select("host", (F.col("trust") * scale[0]).alias("trust"), (F.col("distrust") * scale[1]).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.25, damping: float = 0.85, steps: int = 8) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.25, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, and trust and distrust of the host (in pages), for rows (page_id, url, html).
 
     A null url or one without ``://`` has an empty host and path, no rule, and is allowed unless pages of
@@ -111,7 +118,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
             F.sum((F.col("by_rule") == "block").cast("double")).alias("distrust"),
         )
     ).fillna(0.0, ["trust", "distrust"])
-    walked = _walks(cut(host_edges(rows)), seeds.select("host", "trust", "distrust"), damping, steps)
+    walked = _walks(cut(host_edges(rows)), seeds.select("host", "trust", "distrust"), damping, tolerance)
     scored = cut(
         seeds.select("host", "pages")
         .join(walked, "host", "left")

@@ -123,3 +123,13 @@ def test_urls_equal_brute_force(spark):
 
 def test_no_pages(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_walks_go_on_until_they_settle(spark):
+    """Hosts a and b link only to each other; the limit of the walk is a = 0.15 * 10 + 0.85 * b, b = 0.85 * a."""
+    pages = [(i, f"http://a/{i}", '<a href="http://b/">') for i in range(10)] + [(10 + i, f"http://b/{i}", '<a href="http://a/">') for i in range(15)]
+    out = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=(("block", "a/"),)).collect()
+    a = 1.5 / (1 - 0.85**2)
+    want = {"a": a * 10 / (1.85 * a), "b": 0.85 * a * 10 / (1.85 * a)}
+    assert all(abs(r.distrust - want[r.host]) < 1e-5 and r.trust == 0 for r in out)
+    assert {r.host: r.verdict for r in out} == {"a": "block", "b": "block"}

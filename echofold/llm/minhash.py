@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.llm.components import components
-from echofold.llm.spark_util import cut
+from echofold.llm.spark_util import cut, marked
 from echofold.llm.words import many_word_hashes, mix64, shingle_set
 
 BANDS, ROWS = 28, 4
@@ -32,8 +32,6 @@ BANDS, ROWS = 28, 4
 QUERIES, MEMBERS = 256, 2048
 #: Shingles of the members that one task verifies at a time, on average.
 SHINGLES = 1 << 20
-#: Size of the filter that keeps documents without candidates out of a shuffle.
-FILTER_BYTES = 4 << 20
 #: Rounds, at most, in which each looks for its likest partner only, before the one that takes all partners. They pay where the
 #: members of buckets would meet more than MOST_BLOCKS blocks of askers on average; they change the work, never the result.
 LIKEST_ROUNDS, MOST_BLOCKS = 3, 4
@@ -269,18 +267,6 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         turn = turn + 1 if any_found else LIKEST_ROUNDS + 1
 
 
-def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows without most of those whose doc_id is not in ``ids``, so that a join has less to shuffle.
-
-    A bit for each hash value stands for the ids; the table of bits has FILTER_BYTES in rows of 4 KB, however many ids there are.
-    """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(8 * FILTER_BYTES))
-    bits = ids.select(F.bitmap_bucket_number(bit).alias("chunk"), F.bitmap_bit_position(bit).alias("at")).groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits"))
-    found = rows.withColumns({"chunk": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(cut(bits)), "chunk")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select(*rows.columns)
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents (doc_id, text) under 100 * intersection >= percent * union of word shingles.
 
@@ -300,7 +286,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = entries.join(shared, "bucket", "left_semi").join(classes.select("member", "n_shingles", "sign"), "member")
     members = cut(members)
     candidates = members.select(F.col("member").alias("doc_id")).distinct()
-    sets = _sets(_maybe_in(rows, candidates).join(candidates, "doc_id", "left_semi"), words)
+    likely = marked(rows, candidates, ["doc_id"]).where("_maybe").drop("_maybe")
+    sets = _sets(likely.join(candidates, "doc_id", "left_semi"), words)
     # Kept by doc_id on the executors' disks, so that no round shuffles them; what is lost is computed again.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.repartition(parts, "doc_id").dropDuplicates(["doc_id"]).persist(StorageLevel.DISK_ONLY)

@@ -1,12 +1,16 @@
 """Removal of byte strings of 200 and more that occur more than once in the corpus.
 
-Every 200-byte window belongs to one anchor: the 40 bytes in it with the least hash, leftmost among equals. Equal windows have
+Equal texts count as one from the start: where such a text has copies, all its windows of 200 bytes occur elsewhere.
+Every window belongs to one anchor: the 40 bytes in it with the least hash, leftmost among equals. Equal windows have
 equal anchors, so windows are compared only where an anchor occurs more than once. An anchor's windows form a stretch of text.
-Stretches that are equal as a whole are counted by hash and settled at once. Of those that remain, each distinct stretch goes to a
-bucket by its anchor, where a run-length index tells which of its windows occur elsewhere: the Burrows-Wheeler transform of the
-bucket's stretches is cut into runs of equal bytes, text positions are kept for both ends of each run only, common prefixes are
-measured only there, and a pass along the text gives the matching statistics of all other positions, one less at each step.
-An anchor with more distinct stretches than a task should hold has its windows counted by hash instead, over all tasks.
+Stretches that are equal as a whole settle each other by their count, within a document at once. The distinct ones of an anchor form
+a cell, and a run-length index tells which of their windows occur in others: the Burrows-Wheeler transform of the stretches is cut
+into runs of equal bytes, text positions are kept for both ends of each run only, common prefixes are measured only there, and a
+pass along the text gives the matching statistics of all other positions, one less at each step.
+
+An index holds some hundred KB, so that its memory is bounded. A cell with more than that is divided exactly: a window whose anchor
+stands in its second half (by offset) also holds the bytes before the anchor, any other one the bytes behind it, and a hash of the bytes that are
+certain names the new cell. Halving goes on as far as needed, at last down to single windows, where a cell is one distinct string.
 """
 
 from __future__ import annotations
@@ -17,17 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echofold.llm.spark_util import cut, scratch_table, text_or_empty
+from echofold.llm.spark_util import cut, marked, parts_by_bytes, scratch_table, text_keys, text_or_empty
 from echofold.llm.suffixes import suffix_order
 from echofold.llm.words import mix64
 
 LENGTH, GRAM = 200, 40
-#: Bytes of stretches in a bucket, on average, and distinct stretches of one anchor that a bucket takes.
-BUCKET_BYTES, MOST_STRETCHES = 2 << 20, 16_384
+#: Bytes of distinct stretches that one index takes; cells above it are divided.
+INDEX_BYTES = 256 << 10
 _SEGMENT = 1 << 18
 _BYTE = np.random.default_rng(200).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
@@ -51,10 +55,10 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix64(total)
 
 
-def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, hash of the stretch, and first and last window start, for the anchors of a text."""
+def stretches(text: bytes) -> tuple[np.ndarray, ...]:
+    """Anchor hash, hash of the stretch, first and last window start, and the anchor's place, for the anchors of a text."""
     span = LENGTH - GRAM + 1
-    anchors, firsts, lasts = [], [], []
+    anchors, firsts, lasts, places = [], [], [], []
     for begin in range(0, max(len(text) - LENGTH + 1, 0), _SEGMENT):
         data = np.frombuffer(text, np.uint8)[begin : begin + _SEGMENT + LENGTH - 1]
         grams = gram_hashes(data, GRAM)
@@ -70,13 +74,16 @@ def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         anchors.append(grams[at[first]])
         firsts.append(first + begin)
         lasts.append(np.append(first[1:], len(at)) - 1 + begin)
+        places.append(at[first] + begin)
     if not anchors:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     first, last = np.concatenate(firsts), np.concatenate(lasts)
-    digest, length = xxhash.xxh3_64_intdigest, LENGTH
-    whole = np.array([digest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64)
-    return np.concatenate(anchors).view(np.int64), whole.view(np.int64), first, last
+    return np.concatenate(anchors).view(np.int64), _digests(text, first, last), first, last, np.concatenate(places)
+
+
+def _digests(text: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(text[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64).view(np.int64)
 
 
 def matching_statistics(texts: list[bytes]) -> np.ndarray:
@@ -131,180 +138,225 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-def _index_bucket(table: pa.Table) -> pa.Table:
-    texts = table.column("stretch").to_pylist()
-    found = matching_statistics(texts) >= LENGTH
-    rows, firsts, lasts, at = [], [], [], 0
-    starts = table.column("first").to_pylist()
-    for i, t in enumerate(texts):
-        a, b = _ranges(found[at : at + len(t) - LENGTH + 1])
-        rows += [i] * len(a)
-        firsts += (a + starts[i]).tolist()
-        lasts += (b + starts[i]).tolist()
-        at += len(t)
-    take = pa.array(rows, pa.int64())
-    return pa.table(
-        {"doc": table.column("doc").take(take), "check": table.column("check").take(take), "first": pa.array(firsts, pa.int64()), "last": pa.array(lasts, pa.int64())}
-    )
+def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges sorted by their first, with those that touch joined."""
+    if not len(first):
+        return first, last
+    reach = np.maximum.accumulate(last)
+    new = np.append(True, first[1:] > reach[:-1] + 1)
+    return first[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, 256):
-        yield batch.slice(at, 256)
+def _named(docs: DataFrame, *others: str) -> DataFrame:
+    """ha, hb, the text in UTF-8 as ``bytes``, and further columns as one struct ``rest``."""
+    data = F.encode(text_or_empty(), "UTF-8")
+    return docs.select(*[c.alias(k) for k, c in text_keys(data).items()], data.alias("bytes"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest") if others else F.lit(None).cast("int").alias("rest"))
 
 
-def _check(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - 2**63
+def _distinct_texts(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """ha, hb, bytes: each text once. Only texts that may have copies (``copied``: ha, hb) are shuffled."""
+    rows = marked(_named(docs).drop("rest"), copied, ["ha", "hb"])
+    return rows.where("not _maybe").drop("_maybe").unionByName(rows.where("_maybe").drop("_maybe").dropDuplicates(["ha", "hb"]))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """doc (id, never null) and the text in UTF-8."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.encode(text_or_empty(), "UTF-8").alias("bytes"))
+_FOUND = ["ha", "hb", "anchor", "whole", "first", "last", "place"]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "whole", "doc", "check", "first", "last"]
+    """The stretches of each text, equal ones of a text once; ranges of windows that occur twice within a text have a null anchor."""
     for batch in batches:
-        for part in _parts(batch):
-            out = [[] for _ in names]
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                anchor, whole, first, last = stretches(text)
-                n = len(anchor)
-                for column, values in zip(out, (anchor, whole, np.full(n, doc), np.full(n, _check(text)), first, last)):
+        for part in parts_by_bytes(batch, 2):
+            out, local = [[] for _ in _FOUND], []
+            for ha, hb, text in zip(*(part.column(k).to_pylist() for k in range(3))):
+                anchor, whole, first, last, place = stretches(text)
+                _, once, kind, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(n[kind] > 1)
+                a, b = _merged(first[again], last[again])
+                once.sort()
+                both = [np.concatenate([x[once], y]) for x, y in ((anchor, 0 * a), (whole, 0 * a), (first, a), (last, b), (place, a))]
+                for column, values in zip(out, [np.full(len(both[0]), ha), np.full(len(both[0]), hb), *both]):
                     column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names)
+                local.append(np.arange(len(once) + len(a)) >= len(once))
+            none = np.concatenate(local) if local else np.zeros(0, bool)
+            values = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+            arrays = [pa.array(v, pa.int64() if name in ("ha", "hb", "anchor", "whole") else pa.int32(), mask=none if name in ("anchor", "whole") else None) for name, v in zip(_FOUND, values)]
+            yield pa.RecordBatch.from_arrays(arrays, _FOUND)
 
 
-def _packed(docs: DataFrame, others: list[str]) -> DataFrame:
-    """doc, check, the text under zstd, and further columns: what is shuffled of the documents."""
-    named = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.encode(text_or_empty(), "UTF-8").alias("bytes"), *[F.col(c) for c in others]
-    )
-    kinds = [f"`{c}` {named.schema[c].dataType.simpleString()}" for c in others]
+def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (ha, hb, cell, whole, first, last, place) with the bytes of each stretch."""
+    keys = wanted.select("ha", "hb").distinct()
+    likely = marked(texts, keys, ["ha", "hb"]).where("_maybe").drop("_maybe")
+    # As many entries as the text has stretches.
+    listed = wanted.groupBy("ha", "hb").agg(F.collect_list(F.struct("cell", "whole", "first", "last", "place")).alias("wanted"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                texts = part.column(1).to_pylist()
-                columns = [part.column(0), pa.array([_check(t) for t in texts], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["doc", "check", "packed", *others])
-
-    return named.mapInArrow(pack, ", ".join(["doc long, check long, packed binary", *kinds]))
-
-
-def _open_windows(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, doc, check, first, stretch (bytes) for the stretches in ``wanted`` (doc, check, anchor, first, last, big)."""
-    listed = wanted.groupBy("doc", "check").agg(F.collect_list(F.struct("anchor", "first", "last", "big")).alias("wanted"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+            for part in parts_by_bytes(batch, 2):
+                wants = part.column(3)
+                n = np.diff(wants.offsets.to_numpy())
+                row = np.repeat(np.arange(part.num_rows), n)
+                fields = {k: v for k, v in zip(("cell", "whole", "first", "last", "place"), wants.flatten().flatten())}
+                texts, first, last = part.column(2).to_pylist(), fields["first"].to_pylist(), fields["last"].to_pylist()
+                for at in range(0, len(row), 8192):
+                    here = slice(at, at + 8192)
+                    data = [texts[i][a : b + LENGTH] for i, a, b in zip(row[here].tolist(), first[here], last[here])]
+                    own = pa.array(row[here])
+                    columns = [part.column(0).take(own), part.column(1).take(own), *(fields[k].slice(at, 8192) for k in ("cell", "whole", "first", "place")), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["ha", "hb", "cell", "whole", "first", "place", "stretch"])
+
+    schema = "ha long, hb long, cell long, whole long, first int, place int, stretch binary"
+    return likely.join(listed, ["ha", "hb"]).select("ha", "hb", "bytes", "wanted").mapInArrow(take, schema)
+
+
+def _halves(level: int):
+    """A pass over stretches of cells that are too large: both halves by the anchor's offset, with the hashes that name cell and stretch."""
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                part = batch.slice(at, 16)
+            for part in parts_by_bytes(batch, 8):
                 rows = []
-                for doc, check, data, wants in zip(*(c.to_pylist() for c in part.columns)):
-                    text = expand.decompress(data)
-                    rows += [(w["anchor"], doc, check, w["first"], w["big"], text[w["first"] : w["last"] + LENGTH]) for w in wants]
-                kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["anchor", "doc", "check", "first", "big", "stretch"]
-                )
+                for ha, hb, cell, _, first, place, low, high, data in zip(*(c.to_pylist() for c in part.columns)):
+                    middle = (low + high) // 2
+                    for a, b in ((low, middle), (middle, high)):
+                        # Windows whose anchor is a .. b - 1 bytes behind their start all hold the bytes from place - a to place - b + 201.
+                        begin, end = max(first, place - b + 1), min(first + len(data) - LENGTH, place - a)
+                        if a == b or begin > end:
+                            continue
+                        sure = data[place - a - first : place - b + 1 + LENGTH - first]
+                        some = data[begin - first : end + LENGTH - first]
+                        name = digest(sure, seed=level * 1000 + a) ^ (cell & 0xFFFFFFFFFFFFFFFF)
+                        rows.append((ha, hb, name - (1 << 64) if name >> 63 else name, digest(some) - 2**63, begin, place, a, b, some))
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], part.schema.names)
+
+    return divide
+
+
+def _by_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of windows that occur in another stretch of their cell, from rows that come sorted by cell, a few cells per index."""
+
+    def indexed(rows: list[tuple]) -> pa.RecordBatch:
+        found = matching_statistics([r[4] for r in rows]) >= LENGTH
+        keys, firsts, lasts, at = [], [], [], 0
+        for ha, hb, _, first, data in rows:
+            a, b = _ranges(found[at : at + len(data) - LENGTH + 1])
+            keys += [(ha, hb)] * len(a)
+            firsts += (a + first).tolist()
+            lasts += (b + first).tolist()
+            at += len(data)
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["ha", "hb", "first", "last"])
+
+    held, size, cell = [], 0, None
+    for batch in batches:
+        for part in parts_by_bytes(batch, 4):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[2] != cell and size >= INDEX_BYTES:
+                    yield indexed(held)
+                    held, size = [], 0
+                held.append(row)
+                size, cell = size + len(row[4]), row[2]
+    if held:
+        yield indexed(held)
 
-    return packed.join(listed, ["doc", "check"]).select("doc", "check", "packed", "wanted").mapInArrow(fetch, "anchor long, doc long, check long, first long, big boolean, stretch binary")
 
+_SPLIT = "ha long, hb long, cell long, whole long, first int, place int, low int, high int, stretch binary"
 
-def _by_counting(rows: DataFrame) -> DataFrame:
-    """The windows (doc, check, first, last) of ``rows`` (anchor, doc, check, first, stretch) that occur more than once, by hash."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                out = [[] for _ in range(5)]
-                for anchor, doc, check, first, data in zip(*(c.to_pylist() for c in part.columns)):
-                    h = gram_hashes(np.frombuffer(data, np.uint8), LENGTH).view(np.int64)
-                    for column, values in zip(out, (np.full(len(h), anchor), h, np.full(len(h), doc), np.full(len(h), check), first + np.arange(len(h)))):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["anchor", "window", "doc", "check", "first"])
-
-    each = rows.select("anchor", "doc", "check", "first", "stretch").mapInArrow(windows, "anchor long, window long, doc long, check long, first long")
-    twice = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
-    return each.join(twice, ["anchor", "window"], "left_semi").select("doc", "check", "first", F.col("first").alias("last"))
-
-
-def repeated_windows(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """doc, check, spans: array<struct<first, last>> of the starts of all windows that occur more than once."""
-    with scratch_table(_named(docs).mapInArrow(_find, "anchor long, whole long, doc long, check long, first long, last long")) as anchors:
-        often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+def _indexed(stretches: DataFrame) -> DataFrame:
+    """Windows (ha, hb, first, last) of distinct stretches (ha, hb, cell, whole, first, place, stretch) that others of their cell hold, too."""
+    rows, found, level = stretches.withColumns({"low": F.lit(0), "high": F.lit(LENGTH - GRAM + 1)}).select("ha", "hb", "cell", "whole", "first", "place", "low", "high", "stretch"), None, 0
+
+    def more(part: DataFrame) -> None:
+        nonlocal found
+        part = part.select("ha", "hb", "first", "last")
+        found = part if found is None else found.unionByName(part)
+
+    while True:
+        rows = cut(rows)
+        sizes = cut(rows.groupBy("cell").agg(F.sum(F.octet_length("stretch")).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        large = sizes.where(F.col("bytes") > INDEX_BYTES).select("cell")
+        small = rows.join(sizes.where(F.col("bytes") <= INDEX_BYTES).select("cell"), "cell").select("ha", "hb", "cell", "first", "stretch")
+        more(small.repartition("cell").sortWithinPartitions("cell", "first").mapInArrow(_by_index, "ha long, hb long, first int, last int"))
+        if not large.limit(1).count():
+            return found
+        level += 1
+        each = cut(rows.join(large, "cell").select(*rows.columns).mapInArrow(_halves(level), _SPLIT))
+        kinds = each.groupBy("cell", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ha", "hb", "first")).alias("one"))
+        again = kinds.where("n > 1").select("cell", "whole")
+        more(each.join(again, ["cell", "whole"], "left_semi").withColumn("last", (F.col("first") + F.octet_length("stretch") - LENGTH).cast("int")))
+        ones = kinds.select("cell", "whole", F.col("one.ha").alias("ha"), F.col("one.hb").alias("hb"), F.col("one.first").alias("first"))
+        rows = each.join(ones, ["cell", "whole", "ha", "hb", "first"], "left_semi").select(*rows.columns)
+
+
+def repeated_windows(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """ha, hb, spans: array<struct<first, last>> of the starts of the windows of each distinct text that occur more than once."""
+    texts = _distinct_texts(docs, copied)
+    schema = "ha long, hb long, anchor long, whole long, first int, last int, place int"
+    with scratch_table(texts.mapInArrow(_find, schema)) as anchors:
+        often = anchors.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
         with scratch_table(anchors.join(often, "anchor", "left_semi")) as alive:
-            kinds = cut(alive.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "check", "first", "last")).alias("one")))
-            settled = alive.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc", "check", "first", "last")
-            several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", (F.col("kinds") > MOST_STRETCHES).alias("big"))
-            wanted = cut(kinds.join(several, "anchor").select("anchor", "big", "one.doc", "one.check", "one.first", "one.last"))
-            total, big = wanted.agg(F.sum(F.col("last") - F.col("first") + LENGTH), F.max(F.col("big").cast("int"))).first()
-            buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
-            fetched = _open_windows(packed, wanted)
-            if big:
-                fetched = cut(fetched)
-            found = (
-                fetched.where("not big")
-                .withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
-                .groupBy("bucket")
-                .applyInArrow(_index_bucket, "doc long, check long, first long, last long")
-            )
-            if big:
-                found = found.unionByName(_by_counting(fetched.where("big")))
-            # Repeated rows of one document name the same windows.
-            spans = settled.unionByName(found).distinct().groupBy("doc", "check").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-            return cut(spans)
+            kinds = cut(alive.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ha", "hb", "first", "last", "place")).alias("one")))
+            equal = alive.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("ha", "hb", "first", "last")
+            several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+            wanted = cut(kinds.join(several, "anchor").select(F.col("anchor").alias("cell"), "whole", "one.*"))
+            found = anchors.where("anchor is null").select("ha", "hb", "first", "last").unionByName(equal).unionByName(_indexed(_fetch(texts, wanted)))
+            # As many spans as the text has stretches.
+            return cut(found.groupBy("ha", "hb").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")))
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Remove each byte of documents (doc_id, text) that a 200-byte string covers which also starts elsewhere.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and, if ``keep`` names
-    further columns, these and kept_text. A character cut in two by a removed run's end is left out of kept_text.
+    further columns, kept_text and a struct ``rest`` of these. A character cut in two by a removed run's end is left out of kept_text.
 
     "Elsewhere" is any other position of any text, judged on the input; strings never cross texts. A null text counts as empty.
-    Rows that repeat stay, and each counts as elsewhere for the others. An empty table gives an empty result. Other columns are
-    ignored.
+    ``doc_id`` may be null, of any type and need not identify a row. Rows that repeat stay, and each counts as elsewhere for the
+    others. An empty table gives an empty result. Other columns are ignored.
     """
-    others = [c for c in (keep or []) if c not in ("doc_id", "text")]
-    spans = repeated_windows(docs, _packed(docs, []))
+    rows = _named(docs, "doc_id", *(keep or []))
+    copied = cut(rows.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ha", "hb"))
+    spans = repeated_windows(docs, copied)
+    # Of texts with copies every window occurs elsewhere.
+    entry = spans.schema["spans"].dataType.simpleString()
+    spans = spans.join(copied, ["ha", "hb"], "left_anti").unionByName(copied.withColumn("spans", F.lit(None).cast(entry))).withColumn("touched", F.lit(True))
+    likely = marked(rows, spans, ["ha", "hb"])
+    free = likely.where("not _maybe").drop("_maybe").withColumns({"spans": F.lit(None).cast(entry), "touched": F.lit(None).cast("boolean")})
+    joined = likely.where("_maybe").drop("_maybe").join(spans, ["ha", "hb"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts_by_bytes(batch, 0):
                 rows = []
-                for data, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    text = expand.decompress(data)
-                    kept, begin, removed, runs, stop = [], 0, 0, 0, -1
-                    for span in found or []:
-                        a, b = span["first"], span["last"] + LENGTH
-                        if a > stop:
-                            if runs:
-                                begin = stop
-                            kept.append(text[begin:a])
-                            runs, removed, stop = runs + 1, removed + b - a, b
-                        elif b > stop:
-                            removed, stop = removed + b - stop, b
-                    kept.append(text[stop:] if runs else text)
-                    rest = b"".join(kept)
-                    rows.append((len(text), removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep is not None else None))
+                for text, found, touched in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    if touched and found is None:
+                        spans = [(0, len(text))] if len(text) >= LENGTH else []
+                    else:
+                        a, b = _merged(np.array([s["first"] for s in found or []], np.int64), np.array([s["last"] for s in found or []], np.int64) + LENGTH - 1)
+                        spans = list(zip(a.tolist(), (b + 1).tolist()))
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept.append(text[at:a])
+                        at = b
+                    rest = b"".join([*kept, text[at:]])
+                    removed = len(text) - len(rest)
+                    rows.append((len(text), removed, len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep is not None else None))
                 arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.string())]
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if keep is not None:
                     arrays.append(pa.array([r[4] for r in rows], pa.string()))
                     names.append("kept_text")
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays, *part.columns[3:]], ["doc_id", *names, *others])
-
-    joined = _packed(docs, others).join(spans.hint("shuffle_hash"), ["doc", "check"], "left")
-    joined = joined.select(F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id"), "packed", "spans", *[F.col(c) for c in others])
-    schema = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + (["kept_text string"] if keep is not None else [])
-    schema += [f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in others]
-    return joined.mapInArrow(remove, ", ".join(schema))
+                yield pa.RecordBatch.from_arrays([part.column(3), *arrays], ["rest", *names])
+
+    fields = ["bytes", "spans", "touched", "rest"]
+    schema = T.StructType([rows.schema["rest"]])
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")) + ((("kept_text", "string"),) if keep is not None else ()):
+        schema = schema.add(name, kind)
+    out = free.select(*fields).unionByName(joined.select(*fields)).mapInArrow(remove, schema)
+    return out.select(F.col("rest.doc_id").alias("doc_id"), *out.columns[1:], *(["rest"] if keep is not None else []))
 
 
 def op10_run_length_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from echofold.llm import substring_dedup
 from echofold.llm.components import components
@@ -108,10 +109,37 @@ def test_substrings_equal_brute_force(docs, rows):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed_by_brute_force(rows)
 
 
-def test_substrings_counted_by_hash_beyond_the_bucket_limit(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MOST_STRETCHES", 2)
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2000)
-    out = dedup_substrings(docs).collect()
+def test_substrings_in_cells_that_are_divided(spark, docs, rows, monkeypatch):
+    """Cells above a few hundred bytes are halved by the anchor's offset, down to single windows, with the same result."""
+    r = random.Random(5)
+    common = "".join(r.choice("abcdefgh ") for _ in range(230))
+    texts = ["".join(r.choice("abcd") for _ in range(r.randint(0, 90))) + common[r.randint(0, 60) : 230 - r.randint(0, 60)] + "".join(r.choice("efgh") for _ in range(r.randint(0, 90))) for _ in range(60)]
+    more = [(5000 + i, t) for i, t in enumerate(texts)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    for size in (1, 900):
+        monkeypatch.setattr(substring_dedup, "INDEX_BYTES", size)
+        out = dedup_substrings(both).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed_by_brute_force(rows + more)
+
+
+def test_substrings_with_odd_ids_and_columns(spark):
+    """Ids that are no numbers, null or repeated for unlike texts, and columns named like the operator's own."""
+    passage = "The passage that comes again, in every one of these, word for word. " * 4
+    rows = [("a", passage + "x" * 300, "1"), ("a", "y" + passage, "2"), (None, passage, "3"), ("b", "short", "4"), ("b", None, None), ("c", passage + "x" * 300, "6")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, bytes string").withColumns({c: F.lit("z") for c in ("ha", "spans", "rest", "kept_text", "cell")})
+    out = dedup_substrings(docs, keep=["bytes", "ha", "spans", "rest", "kept_text", "cell"]).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed_by_brute_force(rows)
+    assert {r.rest["bytes"]: r.kept_text for r in out} == {"1": "", "2": "y", "3": "", "4": "short", None: "", "6": ""}
+    assert {r.rest["kept_text"] for r in out} == {"z"}
+
+
+def test_substrings_across_segments(spark, monkeypatch):
+    """A text longer than a segment, with a passage across its border, and one that repeats itself with a short period."""
+    monkeypatch.setattr(substring_dedup, "_SEGMENT", 1000)
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghij ") for _ in range(5000))
+    rows = [(1, long), (2, "q" * 3 + long[850:1300]), (3, "Orre " * 700), (4, "x" + "Orre " * 60)]
+    out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed_by_brute_force(rows)
 
 

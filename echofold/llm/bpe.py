@@ -1,16 +1,18 @@
 """Byte-level BPE encoding with reuse of content-defined chunks, and exact decoding.
 
 A rolling hash over 32 bytes cuts each text into chunks, so copies and near copies of a passage yield the same chunks wherever
-they begin. A chunk's own encoding needn't agree with the whole text's near its ends. Its core does: it reaches from the chunk's
-first to its last single space between two printable ASCII marks, places where every encoding of the text has a boundary, since the
-pattern that splits text into words never matches across them. Cores that occur more than once are encoded once, at their
-first owner. All else, with it the stretch around every chunk join, widened until both its ends are such places, is encoded from the text
-again, which makes the concatenation equal to the whole text's encoding.
+they begin, in any script. Chunks that occur more than once are encoded once, by themselves, with the places where their words (what the
+tokenizer's pattern splits off) begin. Near its ends a chunk's own encoding needn't be the whole text's, so every join is repaired: the text is
+encoded again from a word's beginning well inside the chunk before it, over the join and into the next chunk, in growing windows, until
+the words of the window and those of the chunk begin at the same places. From there the chunk's ids are taken over. The same is asked at the left end, where the
+window must begin with the words that the earlier chunk has there; if it doesn't, that chunk isn't used. Words are encoded one by
+one, so agreement makes the whole equal to the whole text's encoding. Texts without shared chunks never leave their task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,16 +22,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echofold.llm.spark_util import cut, text_or_empty
+from echofold.llm.spark_util import cut, marked, parts_by_bytes, scratch_table, text_keys, text_or_empty
 
 #: Chunks end where this many low bits of the hash are 0, but not before MIN_CHUNK bytes, and at MAX_CHUNK.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 9, 256, 8192
-MIN_CORE = 64
+#: Bytes of a chunk in the first window over its join, and in the last one that is tried; bytes of its end that are encoded again.
+FIRST, MOST, BACK = 64, 512, 48
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _SEGMENT = 1 << 20
-_PRINT = np.zeros(256, bool)
-_PRINT[0x21:0x7F] = True
 #: Bytes of text that are encoded at a time.
 _BATCH = 1 << 17
 
@@ -50,8 +52,14 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _char_start(data: np.ndarray, at: int) -> int:
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def chunk_ends(data: np.ndarray) -> list[int]:
-    """Where the chunks of the bytes end; the last end is the length."""
+    """Where the chunks of UTF-8 bytes end, never within a character; the last end is the length."""
     marks = []
     for at in range(0, len(data), _SEGMENT):
         low = max(0, at - 31)
@@ -60,34 +68,27 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     ends, last = [], 0
     for mark in np.concatenate(marks).tolist() if marks else []:
         while mark - last > MAX_CHUNK:
-            last += MAX_CHUNK
+            last = _char_start(data, last + MAX_CHUNK)
             ends.append(last)
         if mark - last >= MIN_CHUNK:
-            last = mark
+            last = _char_start(data, mark)
             ends.append(last)
     while len(data) - last > MAX_CHUNK:
-        last += MAX_CHUNK
+        last = _char_start(data, last + MAX_CHUNK)
         ends.append(last)
     if last < len(data):
         ends.append(len(data))
     return ends
 
 
-def cores(text: bytes) -> list[tuple[int, int, bytes]]:
-    """start, end and 128-bit hash of the core of each chunk that has one."""
-    data = np.frombuffer(text, np.uint8)
-    if len(data) < MIN_CORE:
-        return []
-    sure = np.flatnonzero((data[1:-1] == 0x20) & _PRINT[data[:-2]] & _PRINT[data[2:]]) + 1
-    ends = np.array(chunk_ends(data))
-    begins = np.concatenate([[0], ends[:-1]])
-    first = np.searchsorted(sure, begins + 1)
-    last = np.searchsorted(sure, ends - 1) - 1
+def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
+    """start, end and two 64-bit hashes of each chunk that is long enough to be worth its joins; of equal ones the first."""
+    ends = chunk_ends(np.frombuffer(text, np.uint8))
     out = []
-    for a, b in zip(first.tolist(), last.tolist()):
-        if b > a and sure[b] - sure[a] >= MIN_CORE:
-            s, e = int(sure[a]), int(sure[b])
-            out.append((s, e, xxhash.xxh3_128_digest(text[s:e])))
+    for a, b in zip([0, *ends[:-1]], ends):
+        if b - a >= MIN_CHUNK:
+            h = xxhash.xxh3_128_intdigest(text[a:b])
+            out.append((a, b, (h >> 64) - 2**63, (h & 0xFFFFFFFFFFFFFFFF) - 2**63))
     return out
 
 
@@ -105,8 +106,21 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _tables(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Bytes of each id's token, and its decimal form with a comma."""
+def splits_locally(path: str) -> bool:
+    """Whether the tokenizer is a byte-level BPE that keeps every byte and whose pattern looks nowhere back."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    steps = first.get("pretokenizers", [first])
+    plain = all(x.get("type") in ("ByteLevel", "Split", "Digits") and not x.get("add_prefix_space") and "(?<" not in str(x.get("pattern")) and x.get("behavior", "Isolated") == "Isolated" for x in steps)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    model = spec["model"]
+    return spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and any(x.get("type") == "ByteLevel" for x in steps) and plain and added
+
+
+@lru_cache(maxsize=2)
+def _tables(path: str) -> tuple[list[bytes], list[bytes], np.ndarray, int]:
+    """Bytes of each id's token, its decimal form with a comma, its length, and bytes of the longest added token."""
     tokenizer = _tokenizer(path)
     # Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100.
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -117,7 +131,7 @@ def _tables(path: str) -> tuple[list[bytes], list[bytes]]:
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         tokens[i] = special[i].encode() if i in special else bytes(byte[c] for c in token)
-    return tokens, [b"%d," % i for i in range(len(tokens))]
+    return tokens, [b"%d," % i for i in range(len(tokens))], np.array([len(t) for t in tokens]), max([len(t.encode()) for t in special.values()], default=0)
 
 
 def encode_texts(texts: list[str], path: str) -> list[list[int]]:
@@ -133,69 +147,124 @@ def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     return out
 
 
-def _pieces(text: bytes, known: list[tuple[int, int]]) -> list[str]:
-    """The stretches of the text outside the known cores: one before each core and one after the last."""
-    out, at = [], 0
-    for start, end in known:
-        out.append(text[at:start].decode())
-        at = end
-    return [*out, text[at:].decode()]
-
+def _worded(text: bytes, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """ids of a text, the bytes at which its words begin, and the index of each one's first token."""
+    found = _tokenizer(path).encode(text.decode(), add_special_tokens=False)
+    ids = found.ids
+    sizes = _tables(path)[2][ids] if ids else np.zeros(0, np.int64)
+    words = np.array(found.word_ids, dtype=np.int64) if ids else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(words, prepend=-1) != 0)
+    return ids, (np.cumsum(sizes) - sizes)[first], first
 
-def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Offsets and values of a binary column, a few MB at a time."""
-    values, at = batch.column(column), 0
-    while at < batch.num_rows:
-        part = [x or b"" for x in values.slice(at, 256).to_pylist()]
-        yield at, part
-        at += 256
 
+def encode_chunk(text: bytes, path: str) -> dict | None:
+    """What is kept of a chunk: ids up to ``out`` (bytes, a word's beginning), words that begin up to MOST and from ``out`` on.
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (binary: the id and a hash of the text), n_bytes and the text under zstd, which is what gets shuffled."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    At least two further words with a letter or digit follow ``out`` before the chunk's last word, so neither runs of white space nor of digits that
+    go on beyond the chunk can move it. None for a chunk without such a place.
+    """
+    ids, begins, first = _worded(text, path)
+    limit, solid = len(text) - max(BACK, _tables(path)[3]), 0
+    for k in range(len(begins) - 2, 0, -1):
+        if solid >= 2 and begins[k] <= limit:
+            # All but the last word with a letter or digit are asked to come again behind ``out``.
+            return {"ids": ids[: first[k]], "begins": begins[begins <= min(MOST, begins[k])].tolist(), "first": first[begins <= min(MOST, begins[k])].tolist(), "out": int(begins[k]), "tail": (begins[k : k + 2] - begins[k]).tolist()}
+        solid += any(c.isalnum() for c in text[begins[k] : begins[k + 1]].decode())
+    return None
+
+
+def _join(text: bytes, at: int, start: int, chunk: dict, path: str):
+    """ids from ``at`` to a word in the chunk at ``start`` from which both agree, that word's index there, and the words that begin from ``at`` on; or None."""
+    reach, most = FIRST, min(MOST, chunk["out"])
+    own = np.array(chunk["begins"]) + start
+    while True:
+        end = start + min(reach, most)
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end += 1
+        ids, begins, first = _worded(text[at:end], path)
+        begins = begins + at
+        # The window's own end may have changed its last words.
+        safe = min(begins[-3] if len(begins) > 3 else -1, end - _tables(path)[3])
+        here, there = begins[(begins >= start) & (begins <= safe)], own[own <= safe]
+        same = np.intersect1d(here, there, assume_unique=True)
+        for b in same.tolist():
+            if (here >= b).sum() >= 3 and np.array_equal(here[here >= b], there[there >= b]):
+                return ids[: first[np.searchsorted(begins, b)]], chunk["first"][int(np.searchsorted(own, b))], begins
+        if reach >= most:
+            return None
+        reach *= 2
+
+
+def encode_with_chunks(text: bytes, given: list[tuple[int, dict]], path: str) -> tuple[list[int], int]:
+    """ids of a text some of whose chunks (start, what is kept) are encoded already, and how many ids are taken from them."""
+    banned: set[int] = set()
+    while True:
+        out, taken, at, tail, last = [], 0, 0, None, None
+        for start, chunk in given:
+            if start in banned or start < at:
+                continue
+            met = _join(text, at, start, chunk, path)
+            if met is None:
+                continue
+            if tail is not None and not np.array_equal(met[2][: len(tail)], tail):
+                break
+            ids, k, _ = met
+            out += ids + chunk["ids"][k:]
+            taken += len(chunk["ids"]) - k
+            at, tail, last = start + chunk["out"], np.array(chunk["tail"]) + start + chunk["out"], start
+        else:
+            ids, begins, _ = _worded(text[at:], path) if tail is not None else (encode_texts([text.decode()], path)[0], None, None)
+            if tail is None or np.array_equal(begins[: len(tail)] + at, tail):
+                return out + ids, taken
+        # The chunk used last doesn't end here as it does by itself.
+        banned.add(last)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    data = F.encode(text_or_empty(), "UTF-8")
+    return docs.select("doc_id", *[c.alias(k) for k, c in text_keys(data).items()], data.alias("bytes"))
+
+
+_CHUNK = ["ha", "hb", "ca", "cb", "start", "stop", "n"]
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct chunks of each text, with their number."""
+    for batch in batches:
+        for part in parts_by_bytes(batch, 2):
+            rows: list[tuple] = []
+            for ha, hb, text in zip(*(c.to_pylist() for c in part.columns)):
+                mine: dict[tuple[int, int], list[int]] = {}
+                for start, stop, ca, cb in chunks(text):
+                    mine.setdefault((ca, cb), [start, stop, 0])[2] += 1
+                rows += [(ha, hb, ca, cb, *v) for (ca, cb), v in mine.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.int32()) for k in range(7)], _CHUNK)
+
+
+def _wire(chunk: dict | None, squeeze) -> bytes:
+    return b"" if chunk is None else squeeze.compress(json.dumps(chunk, separators=(",", ":")).encode())
+
+
+def _given(texts: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """ha, hb, given: array<struct<start, chunk>> of the shared chunks of each distinct text that has any."""
+    often = cut(found.groupBy("ca", "cb").agg(F.sum("n").alias("n"), F.min(F.struct("ha", "hb", "start", "stop")).alias("owner")).where("n > 1").select("ca", "cb", "owner.*"))
+    owned = often.groupBy("ha", "hb").agg(F.collect_list(F.struct("ca", "cb", "start", "stop")).alias("owned"))
+    owners = marked(texts.select("ha", "hb", "bytes"), often, ["ha", "hb"]).where("_maybe").select("ha", "hb", "bytes")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for at, texts in _rows(batch, 1):
-                n = len(texts)
-                keys = [xxhash.xxh3_128_digest(b"%d\0" % (-1 if i is None else i) + t) for i, t in zip(batch.column(0).slice(at, n).to_pylist(), texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(keys, pa.binary()), pa.array([squeeze.compress(t) for t in texts], pa.binary())],
-                    ["doc_id", "key", "packed"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"))
-    # The key is never null; saying so keeps the two uses of this table alike, and the shuffle is shared.
-    return rows.mapInArrow(pack, "doc_id long, key binary, packed binary").withColumn("key", F.coalesce("key", F.lit(b"")))
-
-
-def _shared_cores(docs: DataFrame) -> DataFrame:
-    """key, cores: array<struct<start, stop, hash, own>> of the cores that occur more than once, for texts that have any."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in _rows(batch, 1):
-                keys, starts, stops, hashes = [], [], [], []
-                for i, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts):
-                    key = xxhash.xxh3_128_digest(b"%d\0" % (-1 if i is None else i) + text)
-                    for start, stop, digest in cores(text):
-                        keys.append(key)
-                        starts.append(start)
-                        stops.append(stop)
-                        hashes.append(digest)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(hashes, pa.binary())],
-                    ["key", "start", "stop", "hash"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"))
-    found = cut(rows.mapInArrow(find, "key binary, start int, stop int, hash binary"))
-    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("owner")).where("n > 1").select("hash", "owner")
-    one = found.join(often, "hash").dropDuplicates(["key", "start"])
-    own = (F.col("owner.key") == F.col("key")) & (F.col("owner.start") == F.col("start"))
+            for part in parts_by_bytes(batch, 0, _BATCH):
+                rows = []
+                for text, listed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    rows += [(c["ca"], c["cb"], _wire(encode_chunk(text[c["start"] : c["stop"]], path), squeeze)) for c in listed]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.binary()) for k in range(3)], ["ca", "cb", "chunk"])
+
+    # Copies of an owner give its chunks once.
+    encoded = owners.dropDuplicates(["ha", "hb"]).join(owned, ["ha", "hb"]).select("bytes", "owned").mapInArrow(encode, "ca long, cb long, chunk binary").where(F.octet_length("chunk") > 0)
+    uses = marked(found.select("ha", "hb", "ca", "cb", "start"), often, ["ca", "cb"]).where("_maybe").drop("_maybe").dropDuplicates(["ha", "hb", "start"])
     # As many entries as the text has chunks.
-    return cut(one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "hash", own.alias("own")))).alias("cores")))
+    return uses.join(cut(encoded), ["ca", "cb"]).groupBy("ha", "hb").agg(F.array_sort(F.collect_list(F.struct("start", "chunk"))).alias("given"))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -204,76 +273,57 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bo
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded text), n_reused (tokens
     taken from shared chunks) and, if asked for, ids as array<int>.
 
-    A null text counts as empty and has no tokens. Rows that repeat stay, each with its result. Texts of any
-    length and script are encoded whole; where no sure boundary exists nothing is reused. An empty table gives an empty
+    A null text counts as empty and has no tokens. ``doc_id`` may be null, of any type and need not identify a row; rows that repeat stay, each
+    with its result. Texts of any length and script are encoded whole. Of a chunk that a text holds twice only the first is taken over. A
+    tokenizer that isn't a byte-level BPE, or changes the text before it splits it, is used without reuse. An empty table gives an empty
     result. Other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
-    packed = _packed(docs)
-    shared = _shared_cores(docs).withColumn("key", F.coalesce("key", F.lit(b"")))
-
-    def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for row, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = expand.decompress(row)
-                mine = [c for c in listed if c["own"]]
-                ids = encode_texts([text[c["start"] : c["stop"]].decode() for c in mine], path)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c["hash"] for c in mine], pa.binary()), pa.array([squeeze.compress(np.array(x, "<u4").tobytes()) for x in ids], pa.binary())],
-                    ["hash", "ids"],
-                )
-
-    hinted = shared.hint("shuffle_hash")
-    owners = packed.join(hinted, "key", "left").where(F.exists("cores", lambda c: c["own"])).select("packed", "cores")
-    encoded = owners.mapInArrow(encode_owned, "hash binary, ids binary").dropDuplicates(["hash"])
-    uses = shared.select("key", F.explode("cores").alias("c")).select("key", F.col("c.start").alias("start"), F.col("c.hash").alias("hash"))
-    given = uses.join(encoded, "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("given"))
+    local = splits_locally(path)
+    rows, kind = _rows(docs), "array<struct<start:int,chunk:binary>>"
+    if local:
+        with scratch_table(rows.select("ha", "hb", "bytes").mapInArrow(_find, "ha long, hb long, ca long, cb long, start int, stop int, n int")) as found:
+            given = cut(_given(rows, found, path))
+        likely = marked(rows, given, ["ha", "hb"])
+        alone = likely.where("not _maybe").withColumn("given", F.lit(None).cast(kind))
+        both = likely.where("_maybe").join(given, ["ha", "hb"], "left")
+    else:
+        alone, both = rows.withColumn("given", F.lit(None).cast(kind)), None
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        tokens, decimals = _tables(path)
+        expand, tokens, decimals = zstandard.ZstdDecompressor(), *(_tables(path)[:2] if local else ((), ()))
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                end, held = at, 0
-                texts = []
-                while end < batch.num_rows and (end == at or held < _BATCH):
-                    texts.append(expand.decompress(batch.column(1)[end].as_py()))
-                    held += len(texts[-1])
-                    end += 1
-                known = [x or [] for x in batch.column(2).slice(at, end - at).to_pylist()]
-                given = [x or [] for x in batch.column(3).slice(at, end - at).to_pylist()]
-                pieces = [_pieces(t, [(c["start"], c["stop"]) for c in k]) for t, k in zip(texts, known)]
-                fresh = iter(encode_texts([p for ps in pieces for p in ps], path))
+            for part in parts_by_bytes(batch, 1, _BATCH):
+                texts, listed = part.column(1).to_pylist(), part.column(2).to_pylist()
+                fresh = iter(encode_texts([t.decode() for t, g in zip(texts, listed) if not g], path))
                 n, reused, digests, decoded, all_ids = [], [], [], [], []
-                for ps, g in zip(pieces, given):
-                    ids = list(next(fresh))
-                    own = len(ids)
-                    for core in g:
-                        ids += np.frombuffer(expand.decompress(core["ids"]), "<u4").tolist()
-                        more = next(fresh)
-                        own += len(more)
-                        ids += more
-                    if len(g) != len(ps) - 1:
-                        raise ValueError("a shared chunk has no encoding")
+                for text, given in zip(texts, listed):
+                    ids, taken = encode_with_chunks(text, [(c["start"], json.loads(expand.decompress(c["chunk"]))) for c in given], path) if given else (next(fresh), 0)
                     n.append(len(ids))
-                    reused.append(len(ids) - own)
-                    digests.append(hashlib.sha256(b"".join([decimals[i] for i in ids])[:-1]).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([tokens[i] for i in ids]).decode("utf-8", "replace").encode()).hexdigest())
+                    reused.append(taken)
+                    if local:
+                        digests.append(hashlib.sha256(b"".join([decimals[i] for i in ids])[:-1]).hexdigest())
+                        back = b"".join([tokens[i] for i in ids])
+                        # Bytes that are the text's own are valid UTF-8.
+                        decoded.append(hashlib.sha256(back if back == text else back.decode("utf-8", "replace").encode()).hexdigest())
+                    else:
+                        digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(_tokenizer(path).decode(ids, skip_special_tokens=False).encode()).hexdigest())
                     all_ids.append(ids)
-                arrays = [batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), pa.array(reused, pa.int64())]
+                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(reused, pa.int64())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_reused"]
                 if keep_ids:
                     arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
-                at = end
 
     # Each text is decoded as soon as it is encoded, so ids don't leave the task unless asked for.
-    joined = packed.join(hinted, "key", "left").join(given.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "cores", "given")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_reused long" + (", ids array<int>" if keep_ids else "")
-    return joined.mapInArrow(assemble, schema)
+    schema = T.StructType([rows.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_reused", "long")
+    if keep_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    fields = ["doc_id", "bytes", "given"]
+    every = alone.select(*fields) if both is None else alone.select(*fields).unionByName(both.select(*fields))
+    return every.mapInArrow(assemble, schema)
 
 
 def op8_chunk_reuse_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,42 +9,16 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from echofold.scratch import delete, delete_on_exit, shared_dir
+
 _LOCAL_BITS = 33
 #: Size of the filter that keeps rows without a partner out of a shuffle, whatever the number of keys.
 FILTER_BYTES = 4 << 20
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset, a temporary one in local mode and an error elsewhere."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="echofold-"))
-
-
-def _target(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    files, target = _target(spark, path)
-    files.delete(target, True)
-
-
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """What is read lazily goes when the session's file system is closed."""
-    files, target = _target(spark, path)
-    files.deleteOnExit(target)
 
 
 def _written(df: DataFrame) -> tuple[str, DataFrame]:

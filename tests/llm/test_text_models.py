@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from echofold.llm.bpe import chunk_ends, cores, default_tokenizer, encode_documents
+from echofold.llm import bpe
+from echofold.llm.bpe import chunk_ends, chunks, default_tokenizer, encode_chunk, encode_documents, encode_with_chunks
 from echofold.llm.language_id import identify_languages
 from echofold.llm.quality_model import FEATURES, fit, is_held_out, quality_scores, score_quality, train
 
@@ -39,19 +40,51 @@ def test_bpe_without_documents(no_docs):
     assert encode_documents(no_docs).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("ab. \n'sé1\u00a0"), max_size=1500))
-def test_cores_can_be_encoded_alone(text):
-    data = text.encode()
-    t = Tokenizer.from_file(default_tokenizer())
+def check_chunks(text):
+    """Every chunk of the text that can be taken over is; the ids are the library's."""
+    data, path = text.encode(), default_tokenizer()
     ends = chunk_ends(np.frombuffer(data, np.uint8))
     assert (ends[-1] if ends else 0) == len(data) and ends == sorted(set(ends))
-    joined, at = [], 0
-    for start, stop, _ in cores(data):
-        joined += t.encode(data[at:start].decode(), add_special_tokens=False).ids + t.encode(data[start:stop].decode(), add_special_tokens=False).ids
-        at = stop
-    joined += t.encode(data[at:].decode(), add_special_tokens=False).ids
-    assert joined == t.encode(text, add_special_tokens=False).ids
+    given = [(a, encode_chunk(data[a:b], path)) for a, b, _, _ in chunks(data)]
+    ids, taken = encode_with_chunks(data, [(a, c) for a, c in given if c is not None], path)
+    assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    return taken
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("ab. \n'sé1\u00a0日"), max_size=3000))
+def test_joins_are_repaired(text):
+    check_chunks(text)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "слово ", "日本語の", "  \n   ", "\n", "12345", "don't ", "...", "<|endoftext|>", "<|endof", " " * 70, "é"]), max_size=400))
+def test_joins_are_repaired_in_any_script(parts):
+    check_chunks("".join(parts))
+
+
+def test_chunks_are_taken_over_in_any_script():
+    r = random.Random(8)
+    for words in (["river", "house", "of"], ["слово", "дом", "и"], ["日本語", "の文章", "。"]):
+        text = "".join(r.choice(words) + r.choice([" ", " ", ", "]) for _ in range(2000))
+        assert check_chunks(text) > 1000
+
+
+def test_bpe_of_other_tokenizers(spark):
+    """One that drops white space and case is used without reuse; results are the library's."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not bpe.splits_locally(path) and bpe.splits_locally(default_tokenizer())
+    text = "The same long passage again, word for word. " * 30
+    out = encode_documents(spark.createDataFrame([("a", text), ("a", text + "x"), (None, None)], "doc_id string, text string"), path).collect()
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    for r in out:
+        ids = t.encode(next(x for x in (text, text + "x", "") if len(t.encode(x, add_special_tokens=False).ids) == r.n_tokens), add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.n_reused == 0
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 @pytest.fixture(scope="module")
@@ -96,7 +129,8 @@ def test_quality_without_labels_or_documents(labelled, no_docs):
     assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_scores(no_docs, labels).count() == 0
     vectors, net = fit(docs, labels)
-    assert score_quality(docs.drop("score"), vectors, net).columns == ["doc_id", "text", "features", "score"]
+    assert score_quality(docs, vectors, net).columns == ["doc_id", "text", "features", "score"]
+    assert score_quality(docs, vectors, net, "p").columns == ["doc_id", "text", "score", "features", "p"]
 
 
 def test_temperature_calibrates():
@@ -110,6 +144,16 @@ def test_temperature_calibrates():
         assert abs(p[inside].mean() - y[2000:][inside].mean()) < 0.12
 
 
+def test_trigrams_across_parts(spark, monkeypatch):
+    from echofold.llm import language_id
+
+    docs = spark.createDataFrame([("Über den Fluss und in die Wälder gehen wir", "de"), ("a", "de"), ("the river and the house", "en")], "text string, lang string")
+    whole = language_id.train_languages(docs)
+    monkeypatch.setattr(language_id, "PART", 5)
+    parts = language_id.train_languages(docs)
+    assert whole[0] == parts[0] and (whole[1] == parts[1]).all()
+
+
 def test_languages_from_fused_evidence(spark, no_docs):
     words = {"en": "the of and that with this house river", "de": "der die und nicht mit haus über fluss", "fr": "le la les avec maison rivière être où"}
     r = random.Random(2)

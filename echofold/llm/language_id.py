@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.spark_util import cut
+from echofold.llm.spark_util import cut, parts_by_bytes
 from echofold.llm.url_filter import url_host, url_path
 from echofold.llm.words import LOWER
 
 BUCKETS = 1 << 14
+#: Bytes of a text whose trigrams are counted at a time.
+PART = 1 << 20
 #: A trigram's evidence is scaled down, as neighbours aren't independent, and the whole text's is bounded.
 TRIGRAM_WEIGHT, MOST_TRIGRAMS = 0.25, 400
 #: Strength of the smoothing towards the next wider group, in pages, and of the observations' counts.
@@ -59,8 +61,9 @@ def train_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 if name not in totals:
                     totals[name] = np.zeros(BUCKETS, np.int64)
                 data = text.as_py()
-                for at in range(0, len(data), 1 << 20):
-                    totals[name] += np.bincount(trigram_counts(data[at : at + (1 << 20)]), minlength=BUCKETS)
+                # Parts share two bytes, so that each trigram is counted once.
+                for at in range(0, max(len(data) - 2, 0), PART):
+                    totals[name] += np.bincount(trigram_counts(data[at : at + PART + 2]), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["lang", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +113,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts_by_bytes(batch, batch.num_columns - 1):
                 out = []
                 for html in part.column(part.num_columns - 1).to_pylist():
                     found = trigram_counts(visible_text(html))

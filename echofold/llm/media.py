@@ -9,11 +9,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echofold.llm.spark_util import text_or_empty
+from echofold.llm.spark_util import parts_by_bytes, text_or_empty
 
 WIDTH = 64
 TILE = 16
@@ -126,80 +127,107 @@ def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return np.diff(np.diff(out, axis=0), axis=1) / (height / rows * width / columns)
 
 
+def _grey(image: np.ndarray) -> np.ndarray:
+    """Colours as the whole part of their mean."""
+    return image if image.ndim == 2 else (image.sum(axis=2, dtype=np.int64) // 3).astype(np.uint8)
+
+
 def difference_hash(image: np.ndarray) -> str:
     """64 bits in 16 hex digits: whether each of 8 x 9 area means is less than its right neighbour."""
-    grey = image if image.ndim == 2 else image.mean(axis=2)
+    grey = _grey(image)
     small = np.round(area_resize(grey, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
 def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     """The image resized to side x side, in NPY format."""
-    grey = image if image.ndim == 2 else image.mean(axis=2)
+    grey = _grey(image)
     out = io.BytesIO()
     np.save(out, np.round(area_resize(grey, side, side)).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
-def pgm_column(text):
-    """A binary column with the text's UTF-8 bytes, zero-filled to a positive multiple of 64, as a PGM 64 wide."""
-    data = F.encode(text, "UTF-8")
+def _shown(text):
+    """UTF-8 bytes of a text, zero-filled to a positive multiple of 64, and the number of rows of 64 samples."""
     height = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / WIDTH)).cast("int")
-    head = F.concat(F.lit(f"P5\n{WIDTH} "), height.cast("string"), F.lit("\n255\n"))
-    return F.concat(F.encode(head, "UTF-8"), F.rpad(data, height * WIDTH, F.unhex(F.lit("00"))))
+    return F.rpad(F.encode(text, "UTF-8"), height * WIDTH, F.unhex(F.lit("00"))), height
+
+
+def pgm_column(text):
+    """A binary column with the text's bytes as a PGM 64 wide."""
+    payload, height = _shown(text)
+    return F.concat(F.encode(F.concat(F.lit(f"P5\n{WIDTH} "), height.cast("string"), F.lit("\n255\n")), "UTF-8"), payload)
+
+
+def bmp_column(text):
+    """The same as an 8-bit BMP with a grey palette, its rows from top to bottom (which a negative height says)."""
+    payload, height = _shown(text)
 
+    def le(value):
+        digits = F.right(F.hex(value.cast("long")), F.lit(8))
+        digits = F.lpad(digits, 8, "0")
+        return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
 
-def media_features(media: DataFrame, tile: bool = False) -> DataFrame:
-    """Decode the binary column ``media`` of rows (key columns..., media) and add features.
+    def fixed(data: bytes):
+        return F.unhex(F.lit(data.hex()))
 
-    Adds payload_bytes, payload_sha256, tail_crc32, feature (difference hash), error and, if asked for, tile
-    (NPY bytes). A null or unreadable image has nulls and the reason in ``error``. Row order and count stay.
+    start = 14 + 40 + 1024
+    palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+    sizes = (F.lit(start) + height * WIDTH, height * WIDTH)
+    return F.concat(
+        fixed(b"BM"), le(sizes[0]), fixed(struct.pack("<HHIIi", 0, 0, start, 40, WIDTH)), le(-height), fixed(struct.pack("<HHI", 1, 8, 0)), le(sizes[1]), fixed(struct.pack("<iiII", 0, 0, 256, 0) + palette), payload
+    )
+
+
+def media_features(media: DataFrame, tile: bool = True) -> DataFrame:
+    """Decode the binary column ``media`` of rows (other columns, media) and add features.
+
+    Adds payload_bytes, payload_sha256, tail_crc32, feature (difference hash), error and, unless told not to, tile (NPY bytes); other columns stay, but
+    for those of these names, which are replaced. A null or unreadable image has nulls and the reason in ``error``. Row order and count stay.
     """
-    extra = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string" + (", tile binary" if tile else "")
-    fields = [f for f in media.schema.fields if f.name != "media"]
+    new = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string"), ("error", "string")] + ([("tile", "binary")] if tile else [])
+    names = [n for n, _ in new]
+    fields = [f for f in media.schema.fields if f.name != "media" and f.name not in names]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def of_one(data) -> tuple:
         try:
             if data is None:
                 raise ValueError("no image")
-            image = decode_image(bytes(data))
+            image = decode_image(data)
             payload = np.ascontiguousarray(image).reshape(-1)
             row = (payload.size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), difference_hash(image), None)
             return (*row, npy_tile(image)) if tile else row
         except (ValueError, IndexError, struct.error) as e:
             return (None, None, None, None, str(e)) + ((None,) if tile else ())
 
-    names = [x.split()[0] for x in extra.split(", ")]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Tens of rows at a time: images vary much in size.
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                rows = pd.DataFrame([of_one(x) for x in part["media"]], columns=names, index=part.index)
-                for name in ("payload_bytes", "tail_crc32"):
-                    rows[name] = rows[name].astype("Int64")
-                yield pd.concat([part[[f.name for f in fields]], rows], axis=1)
+            for part in parts_by_bytes(batch, batch.num_columns - 1):
+                rows = [of_one(x) for x in part.column(part.num_columns - 1).to_pylist()]
+                added = [pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(new)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], [f.name for f in fields] + names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [extra])
-    return media.mapInPandas(decode, schema)
+    schema = T.StructType(list(fields))
+    for name, kind in new:
+        schema = schema.add(name, kind)
+    return media.select(*[F.col(f"`{f.name}`") for f in fields], "media").mapInArrow(decode, schema)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Store each text of (doc_id, text) as a PGM image and read it back.
+    """Store each text of (doc_id, text) as an image and read it back.
 
-    Returns doc_id, n_bytes, media_bytes, media_sha256 and what ``media_features`` adds. A null text is stored as
-    the empty one: one row of 64 zero samples. Equal texts give equal values; rows that repeat stay; an
-    empty table gives an empty result; other columns are ignored.
+    Returns doc_id, n_bytes, media_bytes, media_sha256 and what ``media_features`` adds. Half of the texts, by a bit of their checksum, become PGM
+    images and the others BMP. A null text is stored as the empty one: one row of 64 zero samples. Equal texts give equal values; rows that
+    repeat stay; an empty table gives an empty result; other columns are ignored.
     """
     text = text_or_empty()
-    media = docs.select(F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), pgm_column(text).alias("media"))
+    stored = F.when(F.crc32(F.encode(text, "UTF-8")) % 2 == 0, pgm_column(text)).otherwise(bmp_column(text))
+    media = docs.select(F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), stored.alias("media"))
     media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return media_features(media)
 
 
 def op2_netpbm_media(spark, sf_dir: str) -> DataFrame:
     out = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-
-
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))

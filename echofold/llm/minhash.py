@@ -5,7 +5,7 @@ circularly by k, gives coordinate k as its least value over the set. Documents t
 band meet in a bucket. Equal sets count once, as a class.
 
 A bucket isn't expanded into all its pairs. Its members are first compared with one leader, which joins most of a group of
-copies. Where many are left outside the bucket's largest component, each then looks for its likest partner outside its own.
+copies. In buckets where many are left outside the largest component, each then looks for its likest partner outside its own.
 Comparisons are made on a byte of each coordinate, by blocks of members in numpy, and
 only pairs whose signatures agree about as often as the limit asks are verified on the full sets (a pair at the limit
 fails that with a chance of about 1 in a million, as it fails to meet in any band). A last round does so for everyone who has such a
@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echofold.llm.components import components
-from echofold.llm.spark_util import cut, marked
+from echofold.llm.spark_util import cut, marked, parts_by_bytes, text_keys, text_or_empty
 from echofold.llm.words import many_word_hashes, mix64, shingle_set
 
 BANDS, ROWS = 28, 4
@@ -32,8 +33,8 @@ BANDS, ROWS = 28, 4
 QUERIES, MEMBERS = 256, 2048
 #: Shingles of the members that one task verifies at a time, on average.
 SHINGLES = 1 << 20
-#: Rounds, at most, in which each looks for its likest partner only, before the one that takes all partners. They pay where the
-#: members of buckets would meet more than MOST_BLOCKS blocks of askers on average; they change the work, never the result.
+#: Rounds, at most, in which each looks for its likest partner only, before the one that takes all partners. They are held in the buckets whose
+#: members would meet more than MOST_BLOCKS blocks of askers, and change the work, never the result.
 LIKEST_ROUNDS, MOST_BLOCKS = 3, 4
 _STEP = np.uint32(0x9E3779B1)
 _SHIFTS = (np.arange(BANDS * ROWS, dtype=np.uint32) * _STEP)[:, None]
@@ -67,21 +68,14 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """ids and UTF-8 texts, some hundred rows at a time."""
-    ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-    for at in range(0, len(texts), 256):
-        yield ids.slice(at, 256), [x or b"" for x in texts.slice(at, 256).to_pylist()]
-
-
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set as a whole, its band keys, and a byte of each coordinate with two of each band key (null without shingles)."""
+    """doc_id, ha, hb, n_shingles, two hashes of the set as a whole, its band keys, and a byte of each coordinate with two of each band key (null without shingles)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _texts(batch):
+            for part in parts_by_bytes(batch, 3):
                 n, one, two, bands, signs = [], [], [], [], []
-                for hashes in many_word_hashes(texts, lower=True):
+                for hashes in many_word_hashes(part.column(3).to_pylist(), lower=True):
                     s = shingle_set(hashes, words)
                     sign = signature(s) if len(s) else None
                     n.append(len(s))
@@ -90,25 +84,30 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                     bands.append(band_keys(sign) if len(s) else None)
                     signs.append(sign.astype(np.uint8).tobytes() + bands[-1].astype(np.uint16).tobytes() if len(s) else None)
                 arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sign"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], ["doc_id", "ha", "hb", "n_shingles", "set_a", "set_b", "bands", "sign"])
 
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sign binary")
+    schema = T.StructType([rows.schema["doc_id"]])
+    for name in ("ha", "hb", "n_shingles", "set_a", "set_b"):
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(sketch, schema.add("bands", T.ArrayType(T.LongType())).add("sign", "binary"))
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """member, shingles for rows (member, bytes)."""
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _texts(batch):
-                sets = [shingle_set(h, words).view(np.int64) for h in many_word_hashes(texts, lower=True)]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            for part in parts_by_bytes(batch, 1, 1 << 20):
+                sets = [shingle_set(h, words).view(np.int64) for h in many_word_hashes(part.column(1).to_pylist(), lower=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["member", "shingles"])
 
-    return rows.mapInArrow(gather, "doc_id long, shingles array<long>")
+    return rows.mapInArrow(gather, "member long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    left = sets.select(F.col("member").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("member").alias("b"), F.col("shingles").alias("t"))
     full = pairs.join(left, "a").join(right, "b")
     # A cheap bound first: the intersection is at most the smaller set, the union at least the larger.
     full = full.where(100 * F.least(F.size("s"), F.size("t")) >= percent * F.greatest(F.size("s"), F.size("t")))
@@ -246,15 +245,16 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         last = False
         if turn:
             seen = cut(seen)
-            blocks = seen.agg(F.avg(F.ceil(F.col("n_asks") / QUERIES))).first()[0]
-            last = turn > LIKEST_ROUNDS or (blocks or 0) <= MOST_BLOCKS
+            crowded = seen.where(F.col("n_asks") > MOST_BLOCKS * QUERIES)
+            last = turn > LIKEST_ROUNDS or not crowded.limit(1).count()
+            seen = seen if last else crowded
         by_count = _cells(seen, F.col("n") / MEMBERS, "sign", "band")
         if not last:
             pairs = by_count.mapInArrow(lambda batches: _alike(batches, percent, turn > 0, False), "a long, b long").distinct()
             found = _verified(pairs, sets, percent)
         else:
             left = cut(by_count.mapInArrow(lambda batches: _alike(batches, percent, False, True), "bucket long, member long").distinct())
-            rest = seen.drop("sign", "band").join(left, ["bucket", "member"], "left_semi").join(sets.withColumnRenamed("doc_id", "member"), "member")
+            rest = seen.drop("sign", "band").join(left, ["bucket", "member"], "left_semi").join(sets, "member")
             found = _cells(rest, F.col("n") * F.col("mean_size") / SHINGLES, "shingles").mapInArrow(lambda batches: _linked(batches, percent), "a long, b long").distinct()
         found = cut(found)
         any_found = bool(found.limit(1).count())
@@ -267,40 +267,52 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         turn = turn + 1 if any_found else LIKEST_ROUNDS + 1
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Components of documents (doc_id, text) under 100 * intersection >= percent * union of word shingles.
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, ha, hb (hashes of the text), n_shingles and group for every row of documents (doc_id, text); without shingles the group is null.
 
-    Returns doc_id, n_shingles (distinct shingles), component_id (smallest doc_id reachable) and kept (doc_id =
-    component_id). A-Z is lower-cased; a text with fewer words than a shingle has is one shingle.
-
-    A document without words or with a null text has no shingles and is its own component. Rows that repeat stay
-    and are linked; doc_id is taken to identify a text. Ties go to the smallest id. An empty table gives an
-    empty result. Other columns are ignored.
+    A group is a component under 100 * intersection >= percent * union of word shingles; its number has no meaning.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    data = F.encode(text_or_empty(), "UTF-8")
+    rows = docs.select("doc_id", *[c.alias(k) for k, c in text_keys(data).items()], data.alias("bytes"))
     sketches = cut(_sketches(rows, words))
-    classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("member"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign"))
-    classes = cut(classes)
+    classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("ha", "hb")).alias("text"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign"))
+    # The number of a class is written down with it, so it stays.
+    classes = cut(classes.withColumn("member", F.monotonically_increasing_id()))
     entries = classes.select("member", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = entries.join(shared, "bucket", "left_semi").join(classes.select("member", "n_shingles", "sign"), "member")
     members = cut(members)
-    candidates = members.select(F.col("member").alias("doc_id")).distinct()
-    likely = marked(rows, candidates, ["doc_id"]).where("_maybe").drop("_maybe")
-    sets = _sets(likely.join(candidates, "doc_id", "left_semi"), words)
-    # Kept by doc_id on the executors' disks, so that no round shuffles them; what is lost is computed again.
+    candidates = cut(classes.join(members.select("member").distinct(), "member", "left_semi").select("text.*", "member"))
+    likely = marked(rows.drop("doc_id"), candidates, ["ha", "hb"]).where("_maybe").drop("_maybe")
+    texts = likely.dropDuplicates(["ha", "hb"]).join(candidates, ["ha", "hb"]).select("member", "bytes")
+    # Kept by member on the executors' disks, so that no round shuffles them; what is lost is computed again.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = sets.repartition(parts, "doc_id").dropDuplicates(["doc_id"]).persist(StorageLevel.DISK_ONLY)
+    sets = _sets(texts, words).repartition(parts, "member").persist(StorageLevel.DISK_ONLY)
     labels = _links(members, sets, percent)
     sets.unpersist()
     names = classes.select("n_shingles", "set_a", "set_b", "member")
     if labels is not None:
-        names = names.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+        names = names.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("group", F.coalesce("component", "member")).drop("component")
     else:
-        names = names.withColumn("component", F.col("member"))
-    names = names.drop("member")
-    out = sketches.drop("bands", "sign").join(names, ["n_shingles", "set_a", "set_b"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+        names = names.withColumn("group", F.col("member"))
+    return sketches.drop("bands", "sign").join(names.drop("member"), ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "ha", "hb", "n_shingles", "group")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Components of documents (doc_id, text) under 100 * intersection >= percent * union of word shingles.
+
+    Returns doc_id, n_shingles (distinct shingles), component_id (smallest doc_id reachable) and kept (doc_id =
+    component_id). A-Z is lower-cased; a text with fewer words than a shingle has is one shingle.
+
+    A document without words or with a null text has no shingles and is its own component. Rows that repeat stay
+    and are linked. Unlike texts with one doc_id are linked only where they are near; ``doc_id`` may be of any type that can be ordered. A null
+    doc_id is linked, but names a component only where no other does. Ties go to the smallest id. An empty table gives an
+    empty result. Other columns are ignored.
+    """
+    found = cut(near_groups(docs, words, percent))
+    least = found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    out = found.join(least, "group", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def op4_circulant_minhash(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echofold.llm.spark_util import cut, global_rank, ordered, text_or_empty
+from echofold.llm.spark_util import cut, global_rank, ordered, text_keys, text_or_empty
 
 BLOCK = 256
 #: Slots in an output shard, on average.
@@ -148,7 +148,8 @@ def plan_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_
     drawn = plans.where("slots > 0").mapInPandas(
         draw, "shard long, first long, n long, rank long, source_size long, blocks long, passes long, last_slots long, last_words long"
     )
-    slots = drawn.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).repartition("rank", "slot")
+    # A source's counts, one row per shard, are dealt out before they become slots.
+    slots = drawn.repartition("rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,7 +169,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 17, keep_spans:
 
     Returns one row per document: doc_id, size (words), source, source_size, target (its source's), taken (words that
     the mix takes, repeats counted) and, with ``keep_spans``, spans: the word ranges taken, as
-    array<struct<turn, shard, slot, first, last>> with ``last`` exclusive.
+    array<struct<turn, shard, slot, first, last>> with ``last`` exclusive, and two hashes of the text, ha and hb.
 
     A null or empty text has no words and gives none. Null is a source of its own, ranked last. Rows that
     repeat are documents of their own. No word is taken more than twice. An empty table gives an empty
@@ -180,12 +181,12 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 17, keep_spans:
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("check"),
+            *[c.alias(k) for k, c in text_keys(F.encode(text, "UTF-8")).items()],
         )
     )
     targets = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     rows = rows.join(targets.drop("weight"), rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    placed = ordered(rows, "rank", "doc_id", "check", "size")
+    placed = ordered(rows, "rank", "doc_id", "ha", "hb")
     within = Window.partitionBy("_part", "rank")
     totals = placed.groupBy("_part", "rank").agg(F.sum("size").alias("part_size"))
     # A source has at most one row per partition here.
@@ -216,7 +217,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 17, keep_spans:
     taken = met.groupBy("_part", "_local").agg(*found)
     out = placed.join(taken, ["_part", "_local"], "left")
     columns = ["doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
-    return out.select(*columns, *(["check", "spans"] if keep_spans else []))
+    return out.select(*columns, *(["ha", "hb", "spans"] if keep_spans else []))
 
 
 def op3_block_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from echofold.llm.spark_util import parts_by_bytes
 from echofold.llm.words import SPACE, mix64, powers
 
 BUCKETS, DIMS, NONZERO, REACH = 4096, 32, 4, 2
@@ -63,18 +65,10 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """ids, tokens' buckets, and the bounds of each text's tokens, about a MB of text at a time."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-        at = 0
-        while at < len(texts):
-            end, held = at, 0
-            while end < len(texts) and (end == at or held + len(texts[end] or b"") < _GROUP):
-                held += len(texts[end] or b"")
-                end += 1
-            part = [x or b"" for x in texts[at:end]]
+        for some in parts_by_bytes(batch, 1, _GROUP):
+            part = [x or b"" for x in some.column(1).cast(pa.large_binary()).to_pylist()]
             found, starts = tokens(np.frombuffer(b"\n".join(part), np.uint8))
-            bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in part]))
-            yield batch.column(0).slice(at, end - at), found, bounds
-            at = end
+            yield some.column(0), found, np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in part]))
 
 
 def context_sums(found: np.ndarray, bounds: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -209,9 +203,9 @@ def _features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found, bounds in _groups(batches):
             pooled = pool(found, bounds, vectors)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r.tobytes() for r in pooled], pa.binary())], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in pooled], pa.binary())], ["doc_id", "features"])
 
-    return rows.mapInArrow(features, "doc_id long, features binary")
+    return rows.mapInArrow(features, "doc_id string, features binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
@@ -219,13 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     vectors = word_vectors(docs)
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id"))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .groupBy(F.col("doc_id").cast("string").alias("doc_id"))
         .agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"))
         .limit(train_rows)
     )
     # At most train_rows rows of two numbers are broadcast, and as many feature vectors come back.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = texts.join(F.broadcast(chosen), "doc_id")
     quality = chosen.select("doc_id", "quality").collect()
     known = {r["doc_id"]: r["quality"] for r in quality}
@@ -234,19 +228,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     return vectors, train(x, np.array([known[i] for i, _ in rows], dtype=float))
 
 
-def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) added, any other columns kept."""
+def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1) added as column ``name``, any other columns kept; a column that has this name is replaced."""
+    docs = docs.drop(name)
     fields = docs.schema.fields
     at = [f.name for f in fields].index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["row", "text"])
-            found = [net.scores(pool(t, b, vectors)) for _, t, b in _groups([pair])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [f.name for f in fields] + ["score"])
+            for part in parts_by_bytes(batch, at):
+                pair = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(at)], ["row", "text"])
+                found = [net.scores(pool(t, b, vectors)) for _, t, b in _groups([pair])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*part.schema.names, name])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, T.StructType(list(fields)).add(name, "double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

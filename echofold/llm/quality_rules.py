@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echofold.llm.spark_util import parts_by_bytes
 from echofold.llm.suffixes import suffix_order
 from echofold.llm.words import SPACE, many_word_hashes
 
@@ -120,8 +121,7 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts_by_bytes(batch, 1):
                 texts = [x or b"" for x in part.column(1).cast(pa.large_binary()).to_pylist()]
                 rows = measures(texts)
                 columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]

@@ -133,12 +133,11 @@ def test_substrings_with_odd_ids_and_columns(spark):
     assert {r.rest["kept_text"] for r in out} == {"z"}
 
 
-def test_substrings_across_segments(spark, monkeypatch):
-    """A text longer than a segment, with a passage across its border, and one that repeats itself with a short period."""
-    monkeypatch.setattr(substring_dedup, "_SEGMENT", 1000)
-    r = random.Random(9)
-    long = "".join(r.choice("abcdefghij ") for _ in range(5000))
-    rows = [(1, long), (2, "q" * 3 + long[850:1300]), (3, "Orre " * 700), (4, "x" + "Orre " * 60)]
+def test_substrings_across_segments(spark):
+    """A text longer than a segment, with a passage across its border, and ones that repeat themselves with a short period."""
+    r, border = random.Random(9), substring_dedup._SEGMENT
+    long = "".join(r.choice("abcdefghij ") for _ in range(border + 5000))
+    rows = [(1, long), (2, "q" * 3 + long[border - 150 : border + 300]), (3, "Orre " * 700), (4, "x" + "Orre " * 60)]
     out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed_by_brute_force(rows)
 

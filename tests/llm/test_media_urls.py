@@ -1,8 +1,10 @@
 import hashlib
 import io
 import re
+import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -36,16 +38,52 @@ def test_area_resize_equals_fine_grid(monkeypatch):
     assert np.load(io.BytesIO(npy_tile(image, 5))).shape == (5, 5)
 
 
+def as_bmp(image):
+    """8 bits, grey palette, rows from top to bottom."""
+    n = image.size
+    head = b"BM" + struct.pack("<IHHI", 1078 + n, 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, image.shape[1], -image.shape[0], 1, 8, 0, n, 0, 0, 256, 0)
+    return head + b"".join(bytes([k, k, k, 0]) for k in range(256)) + image.tobytes()
+
+
+def means_by_brute_force(image, rows, columns):
+    """Each target cell's mean, from the share of every sample that it covers."""
+
+    def shares(n, cells):
+        edges = [Fraction(n * k, cells) for k in range(cells + 1)]
+        return np.array([[float(max(0, min(b, i + 1) - max(a, i))) for i in range(n)] for a, b in zip(edges, edges[1:])])
+
+    down, across = shares(image.shape[0], rows), shares(image.shape[1], columns)
+    return down @ image @ across.T / (image.shape[0] / rows * image.shape[1] / columns)
+
+
+def hash_by_brute_force(image):
+    small = np.round(means_by_brute_force(image, 8, 9), 6)
+    return f"{int(''.join(str(int(a < b)) for row in small for a, b in zip(row, row[1:])), 2):016x}"
+
+
+def test_media_with_clashing_columns(spark):
+    media = spark.createDataFrame([(1, "x", "y", bytearray(encode_pgm(np.zeros((2, 2)))))], "doc_id long, feature string, `a b` string, media binary")
+    (r,) = media_features(media).collect()
+    assert (r["doc_id"], r["a b"], r["feature"], r["error"]) == (1, "y", "0" * 16, None)
+
+
 def test_text_media_keeps_every_byte(docs, rows):
     out = text_media(docs).collect()
     want = Counter()
     for r in rows:
         data = (r[1] or "").encode()
         payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
-        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        stored = encode_pgm(image) if zlib.crc32(data) % 2 == 0 else as_bmp(image)
         want[(r[0], len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in out) == want
-    assert all(re.fullmatch("[0-9a-f]{16}", r.feature) and r.error is None for r in out)
+    texts = {r[0]: (r[1] or "").encode() for r in rows}
+    for r in out:
+        image = np.frombuffer(texts[r.doc_id] + b"\0" * (r.payload_bytes - r.n_bytes), np.uint8).reshape(-1, 64)
+        assert r.error is None and r.feature == hash_by_brute_force(image)
+        tile = np.load(io.BytesIO(bytes(r.tile)))
+        assert tile.dtype == np.uint8 and np.abs(tile - means_by_brute_force(image, 16, 16)).max() <= 0.5 + 1e-6
+    assert {r.media_bytes - r.payload_bytes > 1000 for r in out} == {True, False}
 
 
 def test_unreadable_media_has_a_reason(spark, no_docs):

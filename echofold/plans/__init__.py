@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from echofold.plans import association_queries, horizon_queries, relational_queries, temporal_queries
+from echofold.plans import association_queries, comparison_queries, horizon_queries, relational_queries, temporal_queries
 
 FLAGSHIP = "coactivity_bins"
-QUERIES = {**temporal_queries.QUERIES, **relational_queries.QUERIES, **association_queries.QUERIES, **horizon_queries.QUERIES}
-ORACLE_SQL = {**temporal_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL, **horizon_queries.ORACLE_SQL}
+_SETS = (temporal_queries, relational_queries, association_queries, horizon_queries, comparison_queries)
+QUERIES = {k: v for s in _SETS for k, v in s.QUERIES.items()}
+ORACLE_SQL = {k: v for s in _SETS for k, v in s.ORACLE_SQL.items()}

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from echofold.llm.spark_util import cut, marked, parts_by_bytes, scratch_table, text_keys, text_or_empty
 
 #: Chunks end where this many low bits of the hash are 0, but not before MIN_CHUNK bytes, and at MAX_CHUNK.
-CUT_BITS, MIN_CHUNK, MAX_CHUNK = 9, 256, 8192
+CUT_BITS, MIN_CHUNK, MAX_CHUNK = 10, 512, 8192
 #: Bytes of a chunk in the first window over its join, and in the last one that is tried; bytes of its end that are encoded again.
 FIRST, MOST, BACK = 64, 512, 48
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
@@ -147,14 +147,26 @@ def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     return out
 
 
-def _worded(text: bytes, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """ids of a text, the bytes at which its words begin, and the index of each one's first token."""
-    found = _tokenizer(path).encode(text.decode(), add_special_tokens=False)
-    ids = found.ids
-    sizes = _tables(path)[2][ids] if ids else np.zeros(0, np.int64)
-    words = np.array(found.word_ids, dtype=np.int64) if ids else np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(words, prepend=-1) != 0)
-    return ids, (np.cumsum(sizes) - sizes)[first], first
+class _Encoded:
+    """A text's ids, where each one's bytes begin, and on demand where its words do."""
+
+    def __init__(self, text: bytes, path: str):
+        self._found = _tokenizer(path).encode(text.decode(), add_special_tokens=False)
+        self.ids = self._found.ids
+        sizes = _tables(path)[2][self.ids] if self.ids else np.zeros(0, np.int64)
+        self._at = np.cumsum(sizes) - sizes
+
+    def begins(self, low: int, high: int) -> dict[int, int]:
+        """The words that begin from byte ``low`` to ``high``, in order, with each one's first token. Only tokens there are asked."""
+        first, stop = np.searchsorted(self._at, low), np.searchsorted(self._at, high, side="right")
+        before = self._found.token_to_word(int(first) - 1) if first else None
+        out = {}
+        for k, at in zip(range(int(first), int(stop)), self._at[first:stop].tolist()):
+            word = self._found.token_to_word(k)
+            if word != before:
+                out[at] = k
+            before = word
+        return out
 
 
 def encode_chunk(text: bytes, path: str) -> dict | None:
@@ -163,33 +175,39 @@ def encode_chunk(text: bytes, path: str) -> dict | None:
     At least two further words with a letter or digit follow ``out`` before the chunk's last word, so neither runs of white space nor of digits that
     go on beyond the chunk can move it. None for a chunk without such a place.
     """
-    ids, begins, first = _worded(text, path)
-    limit, solid = len(text) - max(BACK, _tables(path)[3]), 0
-    for k in range(len(begins) - 2, 0, -1):
-        if solid >= 2 and begins[k] <= limit:
-            # All but the last word with a letter or digit are asked to come again behind ``out``.
-            return {"ids": ids[: first[k]], "begins": begins[begins <= min(MOST, begins[k])].tolist(), "first": first[begins <= min(MOST, begins[k])].tolist(), "out": int(begins[k]), "tail": (begins[k : k + 2] - begins[k]).tolist()}
-        solid += any(c.isalnum() for c in text[begins[k] : begins[k + 1]].decode())
-    return None
-
-
-def _join(text: bytes, at: int, start: int, chunk: dict, path: str):
-    """ids from ``at`` to a word in the chunk at ``start`` from which both agree, that word's index there, and the words that begin from ``at`` on; or None."""
+    found, n = _Encoded(text, path), len(text)
+    limit, reach = n - max(BACK, _tables(path)[3]), 4 * BACK
+    while True:
+        ends = list(found.begins(max(n - reach, 0), n).items())
+        solid = 0
+        for k in range(len(ends) - 2, -1, -1):
+            if solid >= 2 and 0 < ends[k][0] <= limit:
+                out, token = ends[k]
+                starts = found.begins(0, min(MOST, out))
+                # The next word is asked to come again behind ``out``.
+                return {"ids": found.ids[:token], "begins": list(starts), "first": list(starts.values()), "out": out, "tail": [0, ends[k + 1][0] - out]}
+            solid += any(c.isalnum() for c in text[ends[k][0] : ends[k + 1][0]].decode())
+        if reach >= n:
+            return None
+        reach *= 4
+
+
+def _join(text: bytes, at: int, start: int, chunk: dict, path: str) -> tuple[_Encoded, int, int] | None:
+    """The window from ``at`` to a word in the chunk at ``start`` from which both agree, the window's tokens before it, and its index in the chunk; or None."""
     reach, most = FIRST, min(MOST, chunk["out"])
-    own = np.array(chunk["begins"]) + start
+    own = {b + start: k for b, k in zip(chunk["begins"], chunk["first"])}
     while True:
         end = start + min(reach, most)
         while end < len(text) and text[end] & 0xC0 == 0x80:
             end += 1
-        ids, begins, first = _worded(text[at:end], path)
-        begins = begins + at
+        window = _Encoded(text[at:end], path)
+        here = {b + at: k for b, k in window.begins(start - at, end - at).items()}
         # The window's own end may have changed its last words.
-        safe = min(begins[-3] if len(begins) > 3 else -1, end - _tables(path)[3])
-        here, there = begins[(begins >= start) & (begins <= safe)], own[own <= safe]
-        same = np.intersect1d(here, there, assume_unique=True)
-        for b in same.tolist():
-            if (here >= b).sum() >= 3 and np.array_equal(here[here >= b], there[there >= b]):
-                return ids[: first[np.searchsorted(begins, b)]], chunk["first"][int(np.searchsorted(own, b))], begins
+        safe = min(list(here)[-3], end - _tables(path)[3]) if len(here) > 3 else -1
+        mine, its = [b for b in here if b <= safe], [b for b in own if b <= safe]
+        for i, b in enumerate(mine[:-2]):
+            if b in own and mine[i:] == its[its.index(b) :]:
+                return window, here[b], own[b]
         if reach >= most:
             return None
         reach *= 2
@@ -206,16 +224,18 @@ def encode_with_chunks(text: bytes, given: list[tuple[int, dict]], path: str) ->
             met = _join(text, at, start, chunk, path)
             if met is None:
                 continue
-            if tail is not None and not np.array_equal(met[2][: len(tail)], tail):
+            window, n, k = met
+            if tail is not None and list(window.begins(0, tail[-1])) != tail:
                 break
-            ids, k, _ = met
-            out += ids + chunk["ids"][k:]
+            out += window.ids[:n] + chunk["ids"][k:]
             taken += len(chunk["ids"]) - k
-            at, tail, last = start + chunk["out"], np.array(chunk["tail"]) + start + chunk["out"], start
+            at, tail, last = start + chunk["out"], chunk["tail"], start
         else:
-            ids, begins, _ = _worded(text[at:], path) if tail is not None else (encode_texts([text.decode()], path)[0], None, None)
-            if tail is None or np.array_equal(begins[: len(tail)] + at, tail):
-                return out + ids, taken
+            if tail is None:
+                return encode_texts([text.decode()], path)[0], 0
+            rest = _Encoded(text[at:], path)
+            if list(rest.begins(0, tail[-1])) == tail:
+                return out + rest.ids, taken
         # The chunk used last doesn't end here as it does by itself.
         banned.add(last)
 

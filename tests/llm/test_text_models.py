@@ -28,6 +28,7 @@ def test_bpe_equals_the_library(spark, docs, rows):
         ("The same long passage again, word for word, in this place. " * 40) + "end",
         "start " + ("The same long passage again, word for word, in this place. " * 40),
     ]
+    odd += ["Another beginning, then " + max((r[1] or "" for r in rows), key=len) + " and another end."]
     more = [(10_000 + i, t, None, None, 0, None, None, None) for i, t in enumerate(odd)]
     both = docs.unionByName(spark.createDataFrame(more, docs.schema))
     out = encode_documents(both, keep_ids=True).collect()

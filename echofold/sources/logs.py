@@ -27,6 +27,65 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def salvaged_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of pages of JSON objects (path, line): a bare array, an envelope with ``detections``, or either of them torn off after some whole objects.
+
+    Returns path, at (place on the page), row (a struct of ``schema``), and page (array, envelope, torn). Objects hold no nested ones.
+    """
+    whole = F.schema_of_variant(F.try_parse_json("line"))
+    page = F.when(F.coalesce(whole.startswith("ARRAY"), F.lit(False)), "array").when(F.coalesce(whole.startswith("OBJECT"), F.lit(False)), "envelope").otherwise("torn")
+    body = F.regexp_replace("line", r'^\s*\{[^\[]*"detections"\s*:', "")
+    found = lines.select("path", page.alias("page"), F.posexplode(F.regexp_extract_all(body, F.lit(r"(\{[^{}]*\})"), F.lit(1))).alias("at", "object"))
+    return found.select("path", "page", "at", F.from_json("object", schema).alias("row")).where("row is not null")
+
+
+def tail_rows(lines: DataFrame, order: str, is_partial: Column) -> DataFrame:
+    """Cells of headerless CSV tails (path, ``order``, line): the first line of a tail that may begin anywhere is dropped and counted, and the most
+    frequent width of a file is taken for its layout; other widths are refused. Returns path, order, cells, reason."""
+    rows = lines.withColumn("cells", F.transform(F.split("line", ","), lambda c: F.trim(c))).withColumn("width", F.size("cells"))
+    first = rows.groupBy("path").agg(F.min(order).alias("_first"))
+    rows = rows.join(first, "path").withColumn("_cut", is_partial & (F.col(order) == F.col("_first")))
+    counts = rows.where("not _cut").groupBy("path", "width").agg(F.count(F.lit(1)).alias("n"))
+    modal = counts.groupBy("path").agg(F.max(F.struct("n", (-F.col("width")).alias("less"))).alias("m")).select("path", (-F.col("m.less")).alias("modal"))
+    reason = F.when(F.col("_cut"), "partial_first_line").when(F.col("width") != F.col("modal"), F.format_string("row_width_%d_expected_%d", F.col("width"), F.col("modal"))).otherwise(ADMITTED)
+    return rows.join(modal, "path", "left").select("path", order, F.when(reason == ADMITTED, F.col("cells")).alias("cells"), reason.alias("reason"))
+
+
+def wav_header(data: Column) -> Column:
+    """channels, rate, bits, duration_s and reason from the first 44 bytes of a WAV file's content."""
+    def text(at: int, n: int) -> Column:
+        return F.decode(F.substring(data, at + 1, F.lit(n)), "ISO-8859-1")
+
+    def number(at: int, n: int) -> Column:
+        digits = F.hex(F.substring(data, at + 1, F.lit(n)))
+        return F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long")
+
+    frame = number(32, 2)
+    duration = number(40, 4) / F.nullif(frame * number(24, 4), F.lit(0).cast("long"))
+    reason = (
+        F.when(F.octet_length(data) < 44, F.format_string("header_short_%d", F.octet_length(data)))
+        .when(text(0, 4) != "RIFF", "not_riff").when(text(8, 4) != "WAVE", "not_wave").when(text(12, 4) != "fmt ", "no_fmt").when(number(20, 2) != 1, "not_pcm").when(text(36, 4) != "data", "no_data")
+        .when(duration.isNull() | (duration <= 0) | (duration > 60), "duration_outside")
+    )
+    return F.struct(number(22, 2).alias("channels"), number(24, 4).alias("rate"), number(34, 2).alias("bits"), duration.alias("duration_s"), reason.alias("reason"))
+
+
+def latest_placements(lines: DataFrame) -> DataFrame:
+    """The last placement of each name in a field log (line: JSON with name, utc, e_m, n_m), with how many it replaced; a line that can't be read raises."""
+    rows = lines.select(F.from_json("line", "name string, utc string, e_m double, n_m double", {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return last_line_wins(rows, "name", ["utc"])
+
+
+def versions_held(tags: DataFrame) -> DataFrame:
+    """Models, versions and digests in a tag store, counted and never merged."""
+    return tags.groupBy("name", "version", "sha256").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"))
+
+
+def frozen_range(rows: DataFrame, position: str, after: Column, freeze: Column) -> DataFrame:
+    """Rows after a position that was read before, up to one frozen beforehand."""
+    return rows.where((F.col(position) > after) & (F.col(position) <= freeze))
+
+
 def is_object(line: Column) -> Column:
     """Whether a line is a whole JSON object."""
     return F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))

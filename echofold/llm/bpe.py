@@ -262,11 +262,21 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wire(chunk: dict | None, squeeze) -> bytes:
-    return b"" if chunk is None else squeeze.compress(json.dumps(chunk, separators=(",", ":")).encode())
+    """A chunk in bytes: the size of what is said about it, this, and the ids."""
+    if chunk is None:
+        return b""
+    head = json.dumps({k: v for k, v in chunk.items() if k != "ids"}, separators=(",", ":")).encode()
+    return squeeze.compress(len(head).to_bytes(4, "little") + head + np.array(chunk["ids"], "<u4").tobytes())
 
 
-def _given(texts: DataFrame, found: DataFrame, path: str) -> DataFrame:
-    """ha, hb, given: array<struct<start, chunk>> of the shared chunks of each distinct text that has any."""
+def _unwire(data: bytes, expand) -> dict:
+    data = expand.decompress(data)
+    n = 4 + int.from_bytes(data[:4], "little")
+    return json.loads(data[4:n]) | {"ids": np.frombuffer(data[n:], "<u4").tolist()}
+
+
+def _shared_chunks(texts: DataFrame, found: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(ha, hb, ca, cb, start) for the chunks of distinct texts that may be shared, and (ca, cb, chunk) for those that are, encoded."""
     often = cut(found.groupBy("ca", "cb").agg(F.sum("n").alias("n"), F.min(F.struct("ha", "hb", "start", "stop")).alias("owner")).where("n > 1").select("ca", "cb", "owner.*"))
     owned = often.groupBy("ha", "hb").agg(F.collect_list(F.struct("ca", "cb", "start", "stop")).alias("owned"))
     owners = marked(texts.select("ha", "hb", "bytes"), often, ["ha", "hb"]).where("_maybe").select("ha", "hb", "bytes")
@@ -283,8 +293,7 @@ def _given(texts: DataFrame, found: DataFrame, path: str) -> DataFrame:
     # Copies of an owner give its chunks once.
     encoded = owners.dropDuplicates(["ha", "hb"]).join(owned, ["ha", "hb"]).select("bytes", "owned").mapInArrow(encode, "ca long, cb long, chunk binary").where(F.octet_length("chunk") > 0)
     uses = marked(found.select("ha", "hb", "ca", "cb", "start"), often, ["ca", "cb"]).where("_maybe").drop("_maybe").dropDuplicates(["ha", "hb", "start"])
-    # As many entries as the text has chunks.
-    return uses.join(cut(encoded), ["ca", "cb"]).groupBy("ha", "hb").agg(F.array_sort(F.collect_list(F.struct("start", "chunk"))).alias("given"))
+    return cut(uses), cut(encoded)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -303,8 +312,10 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bo
     rows, kind = _rows(docs), "array<struct<start:int,chunk:binary>>"
     if local:
         with scratch_table(rows.select("ha", "hb", "bytes").mapInArrow(_find, "ha long, hb long, ca long, cb long, start int, stop int, n int")) as found:
-            given = cut(_given(rows, found, path))
-        likely = marked(rows, given, ["ha", "hb"])
+            uses, encoded = _shared_chunks(rows, found, path)
+        # As many entries as the text has chunks. The shuffle by text serves the grouping and the join.
+        given = uses.join(encoded, ["ca", "cb"]).groupBy("ha", "hb").agg(F.array_sort(F.collect_list(F.struct("start", "chunk"))).alias("given"))
+        likely = marked(rows, uses, ["ha", "hb"])
         alone = likely.where("not _maybe").withColumn("given", F.lit(None).cast(kind))
         both = likely.where("_maybe").join(given, ["ha", "hb"], "left")
     else:
@@ -318,7 +329,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bo
                 fresh = iter(encode_texts([t.decode() for t, g in zip(texts, listed) if not g], path))
                 n, reused, digests, decoded, all_ids = [], [], [], [], []
                 for text, given in zip(texts, listed):
-                    ids, taken = encode_with_chunks(text, [(c["start"], json.loads(expand.decompress(c["chunk"]))) for c in given], path) if given else (next(fresh), 0)
+                    ids, taken = encode_with_chunks(text, [(c["start"], _unwire(c["chunk"], expand)) for c in given], path) if given else (next(fresh), 0)
                     n.append(len(ids))
                     reused.append(taken)
                     if local:

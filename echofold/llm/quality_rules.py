@@ -138,4 +138,4 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
 def op6_suffix_array_repetition(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return out.select(*base, "n_span_words", "longest_repeat")
+    return out.select(*base, "n_span_words")

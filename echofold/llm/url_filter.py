@@ -137,4 +137,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
 
 
 def op9_link_graph_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("trust", "distrust")

@@ -95,3 +95,41 @@ def test_stream_agrees_with_batch_and_replay_adds_nothing(spark, tmp_path):
         sink = H.distinct_events(stream, ["k"], "t").writeStream.foreachBatch(H.append_new(out, "k")).option("checkpointLocation", str(tmp_path / attempt)).trigger(availableNow=True).start()
         sink.awaitTermination(60)
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == sorted({r[0] for r in rows})
+
+
+def test_level_gate_on_a_stream_agrees_with_the_batch(spark, tmp_path):
+    """A channel's floor goes on from one micro-batch to the next."""
+    import random
+
+    from echofold.streaming import gates
+
+    r = random.Random(2)
+    rows = [(i % 3, i, r.choice([1.0, 1.2, 0.9, 9.0, 30.0])) for i in range(60)]
+    df = spark.createDataFrame(rows, "node int, seq int, x double")
+    for k in range(3):
+        df.where(f"seq div 20 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = sorted(gates.level_onsets(df, "node", ["seq"], "x").collect())
+    assert any(x["onset"] for x in want)
+    # One file a batch, in the order in which they were written.
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = gates.level_onset_stream(stream, "node", ["seq"], "x")
+    q = out.writeStream.outputMode("append").format("memory").queryName("onsets").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(spark.table("onsets").collect()) == want
+
+
+def test_salvaged_rows_and_tails(spark):
+    pages = spark.createDataFrame([("a", '[{"i": 1}, {"i": 2}]'), ("b", '{"cursor": 3, "detections": [{"i": 3}]}'), ("c", '[{"i": 4}, {"i": 5'), ("d", "")], "path string, line string")
+    assert sorted((r["path"], r["page"], r["row"]["i"]) for r in logs.salvaged_rows(pages, "i int").collect()) == [("a", "array", 1), ("a", "array", 2), ("b", "envelope", 3), ("c", "torn", 4)]
+    tails = spark.createDataFrame([("f", 1, "9,9,9"), ("f", 2, "1,2"), ("f", 3, "3,4"), ("f", 4, "5")], "path string, line_no int, line string")
+    out = logs.tail_rows(tails, "line_no", F.lit(True)).collect()
+    assert sorted((r["line_no"], r["reason"]) for r in out) == [(1, "partial_first_line"), (2, "admitted"), (3, "admitted"), (4, "row_width_1_expected_2")]
+
+
+def test_field_log_raises_on_a_bad_line(spark):
+    import pytest
+
+    lines = spark.createDataFrame([('{"name": "a", "utc": "1", "e_m": 1, "n_m": 2}',), ("{",)], "line string")
+    assert logs.latest_placements(lines.where("line like '%name%'")).count() == 1
+    with pytest.raises(Exception):
+        logs.latest_placements(lines).collect()

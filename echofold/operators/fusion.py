@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +31,7 @@ def fuse(df: DataFrame, group: list[str], node: str, p: str, snr_db: str, prior:
     One aggregation: weights of mean 1 are n * w / sum(w), so sums of w and of w * logit suffice.
     """
     w = snr_weight(F.col(snr_db))
-    base = float(__import__("math").log(prior / (1 - prior)))
+    base = float(math.log(prior / (1 - prior)))
     agg = df.withColumns({"_w": w, "_z": logit(F.col(p)) - base}).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.count_distinct(node).alias("n_nodes"),

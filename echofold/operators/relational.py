@@ -18,15 +18,10 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], body: str) -> DataFrame:
     """Per key: the first body, arrivals, repeats of it, and arrivals whose body differs from it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = df.withColumn("_first", F.first(body).over(w))
-    same = F.col(body).eqNullSafe(F.col("_first"))
-    return marked.groupBy(*keys).agg(
-        F.any_value("_first").alias("body"),
-        F.count(F.lit(1)).alias("arrivals"),
-        (F.sum(F.when(same, 1).otherwise(0)) - 1).alias("duplicates"),
-        F.sum(F.when(same, 0).otherwise(1)).alias("conflicts"),
-    )
+    # Two partial aggregations: per body, then per key. Nothing is sorted, and no group is gathered.
+    bodies = df.groupBy(*keys, body).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_at"))
+    first = F.min_by("_n", "_at")
+    return bodies.groupBy(*keys).agg(F.min_by(body, "_at").alias("body"), F.sum("_n").alias("arrivals"), (first - 1).alias("duplicates"), (F.sum("_n") - first).alias("conflicts"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], rules) -> DataFrame:

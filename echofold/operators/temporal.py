@@ -84,12 +84,13 @@ def segments(df: DataFrame, keys: list[str], order: list[str], counters: list[st
 
 def guard_blocks(df: DataFrame, keys: list[str], t: str, block: int, guard: int, least_rows: int) -> DataFrame:
     """Adds block and fate: kept, in_guard (close after a block's start) or small_block."""
-    start = F.min(t).over(Window.partitionBy(*keys))
-    out = df.withColumn("_start", start).withColumn("block", F.floor((F.col(t) - F.col("_start")) / block))
+    starts = df.groupBy(*keys).agg(F.min(t).alias("_start"))
+    out = df.join(starts, keys).withColumn("block", F.floor((F.col(t) - F.col("_start")) / block))
     inside = (F.col(t) - F.col("_start") - F.col("block") * block) < guard
     out = out.withColumn("_in", (inside & (F.col("block") > 0)).cast("int"))
-    held = F.sum(1 - F.col("_in")).over(Window.partitionBy(*keys, "block"))
-    return out.withColumn("fate", F.when(F.col("_in") == 1, "in_guard").when(held < least_rows, "small_block").otherwise("kept")).drop("_start", "_in")
+    held = out.groupBy(*keys, "block").agg(F.sum(1 - F.col("_in")).alias("_held"))
+    out = out.join(held, [*keys, "block"])
+    return out.withColumn("fate", F.when(F.col("_in") == 1, "in_guard").when(F.col("_held") < least_rows, "small_block").otherwise("kept")).drop("_start", "_in", "_held")
 
 
 def hysteresis(df: DataFrame, keys: list[str], t: str, tie: str, level: str, opens: float, closes: float) -> DataFrame:

@@ -79,6 +79,12 @@ def admission_strict_tally(spark, sf_dir):
     return counts.join(table(spark, sf_dir, "events").agg(F.count("*").alias("n_input")))
 
 
+@query(_sql(True, False) + ", n AS (SELECT (SELECT count(*) FROM events) AS n_input, (SELECT count(reason) FROM c) AS n_classified) SELECT *, n_input = n_classified AS closed FROM n")
+def admission_conservation(spark, sf_dir):
+    """Rows at the source against rows that came out of the joins of admission with a reason."""
+    return C.conservation(table(spark, sf_dir, "events"), _admitted(spark, sf_dir, True, False))
+
+
 @query(
     f"WITH {DETS} SELECT seq, CASE WHEN seq % 6 = 0 THEN CASE WHEN seq % 5 = 0 THEN false WHEN seq % 4 = 0 THEN seq % 8 = 0 WHEN seq % 9 = 0 THEN seq % 18 = 0 END END AS trusted FROM d"
 )

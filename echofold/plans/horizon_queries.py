@@ -26,9 +26,8 @@ def query(sql: str):
 )
 def horizon_tally(spark, sf_dir):
     d = detections(spark, sf_dir)
-    # One value comes to the driver: the latest time.
-    age = F.lit(d.agg(F.max("t")).first()[0]) - F.col("t")
-    return tally(d.select(H.horizon_class(age, F.col("source") == "purchase", 2 * HOUR, 72 * HOUR).alias("reason")))
+    age = F.col("now") - F.col("t")
+    return tally(d.join(d.agg(F.max("t").alias("now"))).select(H.horizon_class(age, F.col("source") == "purchase", 2 * HOUR, 72 * HOUR).alias("reason")))
 
 
 @query(f"WITH {DETS} SELECT node, source, max(seq) AS position, count(*) AS n_rows FROM d GROUP BY 1, 2")

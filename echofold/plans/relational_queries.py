@@ -42,12 +42,6 @@ def admission_reasons(spark, sf_dir):
     return C.tally(d.withColumn("reason", C.first_reason(rules)))
 
 
-@query("SELECT count(*) AS n_input, count(*) AS n_classified, true AS closed FROM events")
-def admission_conservation(spark, sf_dir):
-    d = detections(spark, sf_dir)
-    return C.conservation(table(spark, sf_dir, "events"), d.withColumn("reason", C.first_reason([(F.col("value") > 150, "sigma_over_budget")])))
-
-
 @query(
     "SELECT doc_id, list_filter([CASE WHEN n_chars > 4000 THEN 'too_long' END, CASE WHEN lang IS NULL THEN 'no_lang' END, CASE WHEN source NOT IN ('web', 'news', 'books') THEN 'unknown_source' END, CASE WHEN text IS NULL OR text = '' THEN 'no_body' END], lambda x: x IS NOT NULL) AS reasons FROM documents"
 )
@@ -335,10 +329,16 @@ def content_keys(spark, sf_dir):
     return e.select("event_id", A.content_key(F.col("event_type"), F.col("user_id"), F.col("event_id"), body=F.encode(F.coalesce("props", F.lit("")), "UTF-8")).alias("key"))
 
 
-@query("SELECT doc_id, sha256(text) <> CASE WHEN doc_id % 50 = 0 THEN sha256(text || ' ') ELSE sha256(text) END AS is_bad FROM documents")
+@query(
+    "WITH s AS (SELECT doc_id, min(sha256(CASE WHEN doc_id % 50 = 0 THEN text || ' ' ELSE text END)) AS digest FROM documents WHERE doc_id % 77 <> 5 GROUP BY 1) SELECT d.doc_id, CASE WHEN s.digest IS NULL THEN 'no_digest' WHEN s.digest <> sha256(d.text) THEN 'bad' ELSE 'ok' END AS verdict FROM documents d LEFT JOIN s USING (doc_id)"
+)
 def payload_integrity(spark, sf_dir):
-    stored = F.when(F.col("doc_id") % 50 == 0, F.sha2(F.concat("text", F.lit(" ")), 256)).otherwise(F.sha2("text", 256))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.sha2("text", 256) != stored).alias("is_bad"))
+    """Texts against digests stored beforehand, some of them of other texts, some missing."""
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    stored = d.where("doc_id % 77 <> 5").groupBy("doc_id").agg(F.min(F.sha2(text, 256)).alias("digest"))
+    verdict = F.when(F.col("digest").isNull(), "no_digest").when(F.col("digest") != F.sha2("text", 256), "bad").otherwise("ok")
+    return d.join(stored, "doc_id", "left").select("doc_id", verdict.alias("verdict"))
 
 
 @query("(SELECT c_nationkey AS k, 'missing' AS side FROM customer EXCEPT SELECT s_nationkey, 'missing' FROM supplier) UNION ALL (SELECT s_nationkey, 'extra' FROM supplier EXCEPT SELECT c_nationkey, 'extra' FROM customer) UNION ALL (SELECT c_nationkey, 'both' FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier)")

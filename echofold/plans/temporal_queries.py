@@ -167,7 +167,7 @@ def interval_overlap_join(spark, sf_dir):
 def band_join_counts(spark, sf_dir):
     d = detections(spark, sf_dir)
     a, b = d.select(F.col("node").alias("node_a"), F.col("t").alias("l_t")), d.select(F.col("node").alias("node_b"), F.col("t").alias("r_t"))
-    return M.within_band(a, b, 2 * MINUTE).where("node_a < node_b").groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return M.within_band(a, b, 2 * MINUTE, where="node_a < node_b").groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 @query(
@@ -220,5 +220,8 @@ def pair_bounds_dim(spark, sf_dir):
 def holdout_parts(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    rank = F.dense_rank().over(Window.partitionBy("source").orderBy(F.floor(F.col("t") / DAY))) - 1
-    return detections(spark, sf_dir).select("node", "seq", (rank % 3).cast("long").alias("part"))
+    # Days are ranked, of which there are few, not rows.
+    d = detections(spark, sf_dir).withColumn("day", F.floor(F.col("t") / DAY))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("day")) - 1
+    days = d.select("source", "day").distinct().withColumn("part", (rank % 3).cast("long"))
+    return d.join(days, ["source", "day"]).select("node", "seq", "part")

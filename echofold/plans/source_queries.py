@@ -211,3 +211,40 @@ def frozen_scan(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.join(o.agg((F.max("o_orderkey") - 500).alias("freeze")))
     return logs.frozen_range(rows, "o_orderkey", F.lit(1000), F.col("freeze")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id"))
+
+
+@query(
+    f"WITH {DETS}, f AS (SELECT seq, node, t % 86400000000 AS us, CASE WHEN seq % 19 = 1 THEN 'header_short_9' WHEN seq % 19 = 2 THEN 'length_172' WHEN seq % 19 = 3 THEN 'version_5' END AS reason FROM d WHERE seq < 3000) "
+    "SELECT seq, reason, CASE WHEN reason IS NULL THEN us END AS us_of_day, CASE WHEN reason IS NULL THEN node END AS node_id, CASE WHEN reason IS NULL THEN seq % 256 END AS frame_seq, CASE WHEN reason IS NULL THEN (seq % 400 - 200) / 4 END AS ref_db, CASE WHEN reason IS NULL THEN seq % 5 = 0 END AS retrigger, "
+    "CASE WHEN reason IS NULL THEN CASE seq % 4 WHEN 0 THEN 48000.0 WHEN 1 THEN 16000.0 WHEN 2 THEN 32000.0 ELSE 24000.0 END END AS fs_hz, CASE WHEN reason IS NULL THEN CAST(80 * (seq % 100) - 80 * (seq % 128 + 1) AS BIGINT) END AS total FROM f"
+)
+def frame_codec(spark, sf_dir):
+    """Frames packed and unpacked again; short ones and those of another version or length are refused by name."""
+    from echofold.sources import frames as X
+
+    d = detections(spark, sf_dir).where("seq < 3000")
+    seq = F.col("seq")
+    body = F.unhex(F.repeat(F.concat(F.lpad(F.hex(seq % 100), 2, "0"), F.lpad(F.hex(255 - seq % 128), 2, "0")), F.lit(80)))
+    packed = X.pack_v2(F.col("t") % X.US_PER_DAY, F.col("node"), seq % 256, (seq % 400 - 200) / 4, seq % 60000, body, seq % 5 == 0, seq % 4 + 1)
+    d, frame = d.select("seq", packed.alias("frame")), F.col("frame")
+    # The high byte of the flags is the number; the low one holds the version in three bits.
+    other = F.concat(F.substring(frame, 1, F.lit(11)), X.little_endian(F.lit(5 * 32 + 2), 2), F.substring(frame, 14, F.lit(160)))
+    sent = F.when(seq % 19 == 1, F.substring(frame, 1, F.lit(9))).when(seq % 19 == 2, F.substring(frame, 1, F.lit(172))).when(seq % 19 == 3, other).otherwise(frame)
+    u = d.select("seq", sent.alias("sent")).select("seq", X.unpack_v2(F.col("sent")).alias("u"))
+    total = F.aggregate("u.q", F.lit(0).cast("long"), lambda s, x: s + x)
+    return u.select("seq", "u.reason", "u.us_of_day", "u.node_id", F.col("u.seq").alias("frame_seq"), "u.ref_db", "u.retrigger", "u.fs_hz", total.alias("total"))
+
+
+@query(
+    "WITH f AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'shape_0x8' WHEN event_id % 7 = 1 THEN 'length_60' END AS reason FROM events) SELECT event_id, reason, CASE WHEN reason IS NULL THEN event_id END AS node_us, CASE WHEN reason IS NULL THEN 6 END AS bands, CASE WHEN reason IS NULL THEN event_id % 3 = 0 END AS fixed_layout, "
+    "CASE WHEN reason IS NULL THEN event_id % 11 END AS fs_code, CASE WHEN reason IS NULL THEN round(-12.25 - event_id % 50 / 2, 4) END AS first_db FROM f"
+)
+def first_frames(spark, sf_dir):
+    """Frames of the first version, whose header states their shape."""
+    from echofold.sources import frames as X
+
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    body = F.unhex(F.repeat(F.lpad(F.hex((256 - i % 50) % 256), 2, "0"), F.lit(48)))
+    head = F.concat(X.little_endian(i, 4), X.little_endian(F.lit(-49), 2), X.little_endian(i % 1000, 2), X.little_endian(F.when(i % 7 == 0, 0).otherwise(6), 1), X.little_endian(F.when(i % 7 == 1, 9).otherwise(8), 1), X.little_endian((i % 11) * 256 + F.when(i % 3 == 0, 4096).otherwise(0), 2))
+    u = e.select("event_id", F.concat(head, body).alias("sent")).select("event_id", X.unpack_v1(F.col("sent")).alias("u"))
+    return u.select("event_id", "u.reason", "u.node_us", "u.bands", "u.fixed_layout", "u.fs_code", F.round(F.get(X.decibels(F.col("u.q"), F.col("u.ref_db")), F.lit(0)), 4).alias("first_db"))

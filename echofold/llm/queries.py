@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from echofold.llm.bpe import op8_chunk_reuse_bpe
+from echofold.llm.hard_negatives import op13_blocked_gemm_negatives
 from echofold.llm.language_id import op7_evidence_fusion_language_id
 from echofold.llm.media import op2_netpbm_media
 from echofold.llm.minhash import op4_circulant_minhash
 from echofold.llm.mixing import op3_block_source_mixing
+from echofold.llm.periodic_runs import op12_block_match_runs
+from echofold.llm.piece_merges import op11_score_agenda_sentencepiece
 from echofold.llm.quality_model import op5_random_indexing_quality
 from echofold.llm.quality_rules import op6_suffix_array_repetition
 from echofold.llm.sharding import op1_balanced_label_propagation
@@ -26,6 +29,9 @@ QUERIES = {
         op8_chunk_reuse_bpe,
         op9_link_graph_url_filter,
         op10_run_length_substring_dedup,
+        op11_score_agenda_sentencepiece,
+        op12_block_match_runs,
+        op13_blocked_gemm_negatives,
     )
 }
 #: Walks of 120 steps, by when 0.85 to that power is below 1e-8.
@@ -58,4 +64,10 @@ _OP6 = f"""WITH w AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, coale
  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
 m AS (SELECT b.*, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(c8.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(c5.n, 0) AS BIGINT) AS n_span_words, c101.n IS NOT NULL AS long FROM b LEFT JOIN c8 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c101 USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m) SELECT id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_span_words <= 0.3 * n_words AND NOT long AS kept, n_span_words FROM f"""
-ORACLE_SQL: dict[str, str] = {"op9_link_graph_url_filter": _OP9, "op6_suffix_array_repetition": _OP6}
+#: Each anchor with every other row, then windows of ranks.
+_OP13 = """WITH r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT rid, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.rid, p.k ORDER BY s.score DESC, s.id) AS rank FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score QUALIFY rank <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+ORACLE_SQL: dict[str, str] = {"op13_blocked_gemm_negatives": _OP13, "op9_link_graph_url_filter": _OP9, "op6_suffix_array_repetition": _OP6}

@@ -9,7 +9,6 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from echofold.llm import piece_merges
 from echofold.llm.hard_negatives import hard_negatives as mine
 from echofold.llm.hard_negatives import products
 from echofold.llm.periodic_runs import collapsed, find_runs, periodic_runs, repeat_a_tail, strongest, word_numbers
@@ -40,7 +39,7 @@ def test_pieces_equal_the_library(spark, docs, rows):
 @given(st.text(st.sampled_from("abeth in  ▁日本\n\0é🙂<0x>A"), max_size=200))
 def test_agenda_makes_the_library_s_ids(text):
     model = merge_model(default_model())
-    assert model.encode(text) == model.library.encode(text)
+    assert model.encode([text, text]) == ([model.library.encode(text)] * 2, [True] * 2)
 
 
 def test_agenda_takes_best_then_leftmost():
@@ -50,13 +49,21 @@ def test_agenda_takes_best_then_leftmost():
     assert merge_symbols("", costs) == []
 
 
-def test_long_texts_go_to_the_library_in_pieces(monkeypatch):
+def test_words_of_a_batch_are_merged_as_alone():
     model = merge_model(default_model())
-    text = "some words here,  and two spaces\nline " * 400 + "日本" * 2000 + " end"
-    whole = model.library.encode(text)
-    monkeypatch.setattr(piece_merges, "LIBRARY_CHARS", 50)
-    assert len(model._cut(text)) > 100 and model.encode_by_library([text, "", "a b"]) == [whole, [], model.library.encode("a b")]
-    assert model.encode(text) == whole
+    words = ["▁the", "▁", "▁▁▁▁", "▁日本語é", "▁a\0b\0", "▁" + "ab" * 20, "▁🙂ing"]
+    matrix = model.merge_words(words)
+    assert [model.word_ids(row) for row in matrix] == [model._merge_alone(w) for w in words]
+    model.known = {}
+    assert model._learn(["▁" + "thing" * 30, *words]) == set() and model.known["▁"] == [model.library.piece_to_id("▁")]
+
+
+def test_differences_from_the_library_are_told(monkeypatch):
+    model = merge_model(default_model())
+    monkeypatch.setattr(model, "known", {})
+    monkeypatch.setattr(model, "_unlike", lambda own, theirs: [0])
+    ids, agrees = model.encode(["b aa", "b", "", "aaaaaa"])
+    assert ids == model.library.encode(["b aa", "b", "", "aaaaaa"]) and agrees == [False, False, True, True]
 
 
 def test_other_vocabularies_are_refused(tmp_path):

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from echofold.llm.spark_util import parts_by_bytes, text_or_empty
 
 #: Longest word that is merged with others, how many are at a time, how many words are remembered, and bytes of text that are worked on at a time.
-_LONGEST, _ROWS, _MOST, _BATCH = 48, 1 << 14, 1 << 18, 1 << 21
+_LONGEST, _ROWS, _MOST, _BATCH = 48, 1 << 14, 1 << 19, 1 << 21
 #: Bits of a symbol's number, and the cost of two symbols that make up no piece.
 _BITS, _NO_PAIR = 21, np.iinfo(np.int32).max
 _SPACE = "▁"

@@ -144,7 +144,7 @@ def typed_pool(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'header_short_12' WHEN event_id % 6 = 1 THEN 'not_riff' WHEN event_id % 6 = 2 THEN 'duration_outside' END AS reason, CASE WHEN event_id % 6 > 2 THEN 16000 END AS rate, CASE WHEN event_id % 6 > 2 THEN round((1 + user_id) * 1000 / 32000.0, 6) END AS duration_s FROM events WHERE user_id < 1000"
+    "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'header_short_12' WHEN event_id % 6 = 1 THEN 'not_riff' WHEN event_id % 6 = 2 THEN 'duration_outside' END AS reason, CASE WHEN event_id % 6 > 2 THEN 16000 END AS rate, CASE WHEN event_id % 6 > 2 THEN round((1 + user_id % 1000) * 1000 / 32000.0, 6) END AS duration_s FROM events"
 )
 def wav_headers(spark, sf_dir):
     """Rate and length of sound files from their first 44 bytes, or what is wrong with them."""
@@ -155,10 +155,10 @@ def wav_headers(spark, sf_dir):
     def text(s: str):
         return F.unhex(F.lit(s.encode().hex()))
 
-    size = F.when(F.col("event_id") % 6 == 2, F.lit(0)).otherwise((1 + F.col("user_id")) * 1000)
+    size = F.when(F.col("event_id") % 6 == 2, F.lit(0)).otherwise((1 + F.col("user_id") % 1000) * 1000)
     lit = F.lit
     head = F.concat(F.when(F.col("event_id") % 6 == 1, text("RIFX")).otherwise(text("RIFF")), le(size + 36, 4), text("WAVEfmt "), le(lit(16), 4), le(lit(1), 2), le(lit(1), 2), le(lit(16000), 4), le(lit(32000), 4), le(lit(2), 2), le(lit(16), 2), text("data"), le(size, 4))
-    e = table(spark, sf_dir, "events").where("user_id < 1000").select("event_id", F.when(F.col("event_id") % 6 == 0, F.substring(head, 1, lit(12))).otherwise(head).alias("content"))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, F.substring(head, 1, lit(12))).otherwise(head).alias("content"))
     w = e.select("event_id", logs.wav_header(F.col("content")).alias("w"))
     fine = F.col("w.reason").isNull()
     return w.select("event_id", "w.reason", F.when(fine, F.col("w.rate")).alias("rate"), F.when(fine, F.round("w.duration_s", 6)).alias("duration_s"))
@@ -214,7 +214,7 @@ def frozen_scan(spark, sf_dir):
 
 
 @query(
-    f"WITH {DETS}, f AS (SELECT seq, node, t % 86400000000 AS us, CASE WHEN seq % 19 = 1 THEN 'header_short_9' WHEN seq % 19 = 2 THEN 'length_172' WHEN seq % 19 = 3 THEN 'version_5' END AS reason FROM d WHERE seq < 3000) "
+    f"WITH {DETS}, f AS (SELECT seq, node, t % 86400000000 AS us, CASE WHEN seq % 19 = 1 THEN 'header_short_9' WHEN seq % 19 = 2 THEN 'length_172' WHEN seq % 19 = 3 THEN 'version_5' END AS reason FROM d) "
     "SELECT seq, reason, CASE WHEN reason IS NULL THEN us END AS us_of_day, CASE WHEN reason IS NULL THEN node END AS node_id, CASE WHEN reason IS NULL THEN seq % 256 END AS frame_seq, CASE WHEN reason IS NULL THEN (seq % 400 - 200) / 4 END AS ref_db, CASE WHEN reason IS NULL THEN seq % 5 = 0 END AS retrigger, "
     "CASE WHEN reason IS NULL THEN CASE seq % 4 WHEN 0 THEN 48000.0 WHEN 1 THEN 16000.0 WHEN 2 THEN 32000.0 ELSE 24000.0 END END AS fs_hz, CASE WHEN reason IS NULL THEN CAST(80 * (seq % 100) - 80 * (seq % 128 + 1) AS BIGINT) END AS total FROM f"
 )
@@ -222,7 +222,7 @@ def frame_codec(spark, sf_dir):
     """Frames packed and unpacked again; short ones and those of another version or length are refused by name."""
     from echofold.sources import frames as X
 
-    d = detections(spark, sf_dir).where("seq < 3000")
+    d = detections(spark, sf_dir)
     seq = F.col("seq")
     body = F.unhex(F.repeat(F.concat(F.lpad(F.hex(seq % 100), 2, "0"), F.lpad(F.hex(255 - seq % 128), 2, "0")), F.lit(80)))
     packed = X.pack_v2(F.col("t") % X.US_PER_DAY, F.col("node"), seq % 256, (seq % 400 - 200) / 4, seq % 60000, body, seq % 5 == 0, seq % 4 + 1)
@@ -248,3 +248,75 @@ def first_frames(spark, sf_dir):
     head = F.concat(X.little_endian(i, 4), X.little_endian(F.lit(-49), 2), X.little_endian(i % 1000, 2), X.little_endian(F.when(i % 7 == 0, 0).otherwise(6), 1), X.little_endian(F.when(i % 7 == 1, 9).otherwise(8), 1), X.little_endian((i % 11) * 256 + F.when(i % 3 == 0, 4096).otherwise(0), 2))
     u = e.select("event_id", F.concat(head, body).alias("sent")).select("event_id", X.unpack_v1(F.col("sent")).alias("u"))
     return u.select("event_id", "u.reason", "u.node_us", "u.bands", "u.fixed_layout", "u.fs_code", F.round(F.get(X.decibels(F.col("u.q"), F.col("u.ref_db")), F.lit(0)), 4).alias("first_db"))
+
+
+@query(
+    f"WITH {DETS}, r AS (SELECT strftime(make_timestamp(t), '%Y-%m-%d') AS day, node, seq, value FROM d) SELECT day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total, count(DISTINCT node) AS n_nodes FROM r WHERE day >= (SELECT min(day) FROM r) GROUP BY 1"
+)
+def frozen_ranges(spark, sf_dir):
+    """Lines of logs read in ranges of 4 KB that are cut anywhere: every line once."""
+    from echofold.sources.ranges import frozen_lines
+
+    d = detections(spark, sf_dir)
+    at = F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(secs=F.floor(F.col("t") / 1000000).cast("decimal(18,6)"))
+    path = _landed(d.withColumn("day", F.date_format(at, "yyyy-MM-dd")), F.to_json(F.struct("seq", "node", "value")), "day")
+    rows = logs.json_rows(frozen_lines(spark, path, 4096), "seq long, node long, value double").where("reason = 'admitted'")
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("row.seq").alias("total"), F.count_distinct("row.node").alias("n_nodes"))
+
+
+@query(
+    f"WITH {DETS}, r AS (SELECT seq, node, t, CASE WHEN seq % 23 = 1 THEN 'bad_json' WHEN seq % 23 = 2 THEN 'phone_skipped' WHEN seq % 23 = 3 THEN 'unrecognised_frame' WHEN seq % 23 = 4 THEN 'bands_disagree' ELSE 'admitted' END AS reason FROM d) "
+    "SELECT CASE WHEN reason = 'bad_json' THEN '?' ELSE 'n' || node END AS node, reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'admitted' THEN t END) AS BIGINT) AS utc_us, count(*) FILTER (reason = 'admitted' AND seq % 2 = 0) AS n_second, "
+    "round(coalesce(sum(CASE WHEN reason = 'admitted' THEN CASE WHEN seq % 2 = 0 THEN 16000.0 WHEN seq % 3 = 0 THEN 44100.0 ELSE 48000.0 END END), 0), 1) AS fs_total FROM r GROUP BY 1, 2"
+)
+def sketch_corpus(spark, sf_dir):
+    """Records with frames of both versions from captured messages; their times to the microsecond, their rate from the frame or else the message."""
+    from echofold.sources import frames as X
+    from echofold.sources.records import sketch_records
+
+    d, seq, us = detections(spark, sf_dir), F.col("seq"), F.col("t") % 1000000
+    body = F.unhex(F.repeat(F.lpad(F.hex(seq % 100), 2, "0"), F.lit(160)))
+    code = F.when(seq % 3 == 0, 6).otherwise(0)
+    first = F.concat(X.little_endian(us, 4), X.little_endian(F.lit(-40), 2), X.little_endian(seq % 1000, 2), X.little_endian(F.lit(20), 1), X.little_endian(F.lit(8), 1), X.little_endian(code * 256, 2), body)
+    second = X.pack_v2(F.col("t") % X.US_PER_DAY, F.col("node"), seq % 256, F.lit(-10.0), seq % 60000, body, F.lit(False), F.lit(2))
+    frame = F.when(seq % 23 == 3, F.substring(first, 1, F.lit(40))).when(seq % 2 == 0, second).otherwise(first)
+    payload = F.struct(
+        F.when(seq % 23 != 2, F.base64(frame)).alias("sketch_b64"), F.when(seq % 23 == 2, "ring full").alias("sketch_skipped"), F.round(F.col("t") / 1000).cast("long").alias("ts_utc_ms"),
+        F.when(seq % 23 == 4, 19).otherwise(20).alias("bands"), F.lit(48000.0).alias("fs"),
+    )
+    text = F.to_json(F.struct(F.concat(F.lit("ears/n"), F.col("node").cast("string"), F.lit("/sketch")).alias("topic"), payload.alias("payload")))
+    path = _landed(d, F.when(seq % 23 == 1, F.left(text, F.lit(20))).otherwise(text))
+    rows = sketch_records(logs.text_lines(spark, path))
+    total = F.round(F.coalesce(F.sum("fs_hz"), F.lit(0.0)), 1)
+    return rows.groupBy("node", "reason").agg(F.count("*").alias("n"), F.sum("utc_us").alias("utc_us"), F.count_if(F.coalesce(F.col("version") == 2, F.lit(False))).alias("n_second"), total.alias("fs_total"))
+
+
+@query(
+    "WITH r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'dets' WHEN 1 THEN 'scene' ELSE 'ring' END AS src, CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'G1' ELSE 'G3' END WHEN 1 THEN 'scene' ELSE 'array' END AS generation, event_id, epoch_us(ts) AS utc_us, "
+    "CASE WHEN event_id % 3 = 0 AND event_id % 29 = 1 THEN 'row_width_2_expected_' || CASE WHEN user_id % 2 = 0 THEN 9 ELSE 11 END WHEN event_id % 3 = 1 AND event_id % 29 = 2 THEN 'bad_mel_hex' WHEN event_id % 3 = 2 AND event_id % 29 = 3 THEN 'frame_length' ELSE 'admitted' END AS reason FROM events) "
+    "SELECT src, generation, reason, count(*) AS n, CAST(sum(CASE WHEN reason NOT LIKE 'row_width%' THEN utc_us END) AS HUGEINT) % 1000000007 AS utc, count(*) FILTER (reason NOT LIKE 'row_width%' AND src <> 'scene') AS n_frames, count(*) FILTER (src = 'scene' AND reason = 'admitted') AS n_mel FROM r GROUP BY 1, 2, 3"
+)
+def bridge_sources(spark, sf_dir):
+    """The card's detections in two layouts (one whose header lies), its scene file and the live ring, as rows of one set of columns."""
+    from echofold.plans.tables import micros
+    from echofold.sources.records import bridge_rows
+
+    e, i = table(spark, sf_dir, "events").withColumn("utc_us", micros("ts")), F.col("event_id")
+    base = ["utc_us", "uptime_s", "sample", "pps_n", "us_since_pps", "trigger", "flags", "fs_hz", "frame_hex"]
+    values = [F.col("utc_us").cast("string"), i.cast("string"), i.cast("string"), F.lit("1"), F.lit("2"), F.lit("t"), F.lit("0"), F.lit("16000"), F.lit("00ff")]
+    lies = F.col("user_id") % 2 == 1
+    line = F.when(i % 29 == 1, F.lit("torn,row")).when(lies, F.concat_ws(",", *values, F.lit(""), F.lit(""))).otherwise(F.concat_ws(", ", *values))
+    head = F.when(lies, F.lit(",".join(["node", *base, "clip", "clip_why"]))).otherwise(F.lit(",".join(base)))
+    file = (F.col("user_id") % 2).cast("string").alias("path")
+    numbered = lambda rows, text, top: rows.select(file, (i + 1).alias("line_no"), text.alias("line")).unionByName(rows.select(file, F.lit(0).cast("long").alias("line_no"), top.alias("line")).distinct())
+    dets = numbered(e.where(i % 3 == 0), line, head)
+    mel = F.when(i % 29 == 2, F.lit("zz")).otherwise(F.lit("0a0b"))
+    cells = F.concat_ws(",", F.col("utc_us").cast("string"), i.cast("string"), i.cast("string"), F.lit("40"), F.lit("8"), F.lit("1024"), F.lit("-9"), F.lit("3"), F.lit("7"), mel)
+    scene = numbered(e.where(i % 3 == 1), cells, F.lit("utc_us,uptime_s,sample,bands,slices,span_ms,ref_db4,frames,fft_us,mel_hex"))
+    one = F.to_json(F.struct(F.col("utc_us"), i.alias("i"), F.lit("00ff").alias("frame"), F.when(i % 29 == 3, 3).otherwise(2).alias("frame_len")))
+    # A page of at most 50 rows.
+    pages = e.where(i % 3 == 2).groupBy(F.floor(i / 150).cast("string").alias("path")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("line"))
+    rows = bridge_rows(dets, scene, pages)
+    return rows.groupBy("src", "generation", "reason").agg(
+        F.count("*").alias("n"), (F.sum(F.col("utc_us").cast("decimal(38,0)")) % 1000000007).cast("decimal(38,0)").alias("utc"), F.count("frame").alias("n_frames"), F.count("mel").alias("n_mel"),
+    )

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from echofold.streaming.scans import scan_batch
+
 
 class LevelGate:
     """A floor that follows the level, slowly up and quickly down, and an onset where the level exceeds it by a factor; it arms again once the level is back."""
@@ -34,16 +36,15 @@ class LevelGate:
 
 
 def level_onsets(rows: DataFrame, by: str, order: list[str], level: str, gate: LevelGate = LevelGate()) -> DataFrame:
-    """``rows`` (by, order, level) with ``onset`` and ``floor``; a channel's samples go through one after another."""
+    """``rows`` (by, order, level) with ``onset`` and ``floor``; a channel's samples go through one after another, a piece of a batch at a time."""
     names = rows.columns
 
-    def solve(batch: pd.DataFrame) -> pd.DataFrame:
-        b = batch.sort_values(order, kind="stable")
-        flags, floors, _ = gate.run(b[level].tolist())
-        return b[names].assign(onset=flags, floor=floors)
+    def step(state: dict | None, part: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        flags, floors, after = gate.run(part[level].tolist(), None if state is None else tuple(state["gate"]))
+        return {"gate": after}, part[names].assign(onset=flags, floor=floors)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(by).applyInPandas(solve, f"{fields}, onset boolean, floor double")
+    return scan_batch(rows, by, order, step, f"{fields}, onset boolean, floor double")
 
 
 def level_onset_stream(stream: DataFrame, by: str, order: list[str], level: str, gate: LevelGate = LevelGate()) -> DataFrame:

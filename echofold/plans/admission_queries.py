@@ -187,10 +187,18 @@ def key_classes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", A.key_rule(key, rules).alias("rule"))
 
 
-@query("SELECT * FROM (VALUES ('documents', '[]'), ('embeddings', '[\"embedding\"]'), ('events', '[]'), ('pages', '[]')) t(name, fields)")
+_RECORD = """CASE WHEN event_id % 7 = 0 THEN '{"arrivals": [{"node_id": 1, "pcm_b64": "x"}], "id": ' || event_id || '}' WHEN event_id % 7 = 1 THEN '{"Waveform": [1, 2], "transcript": "' || event_type || '"}' WHEN event_id % 7 = 2 THEN '{"sample_rate_hz": 16000, "zero_audio_retained": true}' ELSE '{"type": "' || event_type || '", "note": "audio"}' END"""
+
+
+@query(
+    f"WITH r AS (SELECT event_id, user_id, {_RECORD} AS record FROM events), k AS (SELECT event_id, user_id, list_distinct(list_transform(regexp_extract_all(record, '\"([^\"\\\\]+)\"\\s*:', 1), lambda x: lower(x))) AS names FROM r), "
+    "f AS (SELECT user_id, list_sort(list_filter(names, lambda x: x NOT IN ('sample_rate_hz', 'zero_audio_retained') AND regexp_matches(x, 'audio|sample|waveform|pcm|spectrum|spectrogram|embedding|voiceprint|transcript|words|content'))) AS found FROM k) "
+    "SELECT user_id, count(*) AS n, count(*) FILTER (len(found) = 0) AS n_kept, CAST(coalesce(sum(len(found)), 0) AS BIGINT) AS n_forbidden, max(array_to_string(found, ',')) AS last_found FROM f GROUP BY 1"
+)
 def sound_carriers(spark, sf_dir):
-    """Columns of each table that could carry a signal; none of derived products may."""
-    names = ("documents", "embeddings", "events", "pages")
-    import json
+    """Derived records that name something from which sound or speech could be made again, at any depth, are refused before they are purged or sent."""
+    from echofold.operators.clips import forbidden_keys
 
-    return spark.createDataFrame([(n, json.dumps(A.reconstructible_fields(table(spark, sf_dir, n), set()))) for n in names], "name string, fields string")
+    records = table(spark, sf_dir, "events").select("user_id", F.expr(_RECORD).alias("record")).select("user_id", forbidden_keys(F.col("record")).alias("found"))
+    n = F.size("found")
+    return records.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(n == 0).alias("n_kept"), F.sum(n).cast("long").alias("n_forbidden"), F.max(F.array_join("found", ",")).alias("last_found"))

@@ -260,15 +260,21 @@ def observations(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 2 = 0), p AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM n a JOIN n b ON b.vec_id = a.vec_id + 2), "
-    "l AS (SELECT vec_id, lag, round(coalesce(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i + lag BETWEEN 1 AND 16 THEN a[i] * b[i + lag] ELSE 0.0 END)), 0.0), 6) AS score FROM p, (SELECT unnest(range(-4, 5)) AS lag)) "
-    "SELECT vec_id, CAST(lag AS INTEGER) AS lag FROM l QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, abs(lag), lag DESC) = 1"
+    "WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS e FROM n), p AS (SELECT a.vec_id, a.e AS a, b.e AS b, sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) AS energy FROM z a JOIN z b ON b.vec_id = a.vec_id + 1), "
+    "l AS (SELECT vec_id, lag, list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i + lag BETWEEN 1 AND len(b) THEN a[i] * b[i + lag] ELSE 0.0 END)) / energy AS score FROM p, (SELECT unnest(range(-16, 17)) AS lag)) "
+    "SELECT vec_id, CAST(lag AS INTEGER) AS lag, round(score, 6) AS peak FROM l QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, lag) = 1"
 )
 def clip_correlation(spark, sf_dir):
-    """The shift at which two clips agree best."""
-    n = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 1, 16).alias("e"))
-    later = n.select((F.col("vec_id") - 2).alias("vec_id"), F.col("e").alias("b"))
-    return n.join(later, "vec_id").select("vec_id", S.correlation_lag(F.col("e"), F.col("b"), 4).alias("lag"))
+    """The shift at which each clip agrees best with the next one, and how well."""
+    from echofold.operators import clips as C
+
+    n = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    both = n.select(F.col("vec_id").alias("set"), F.lit(0).alias("node"), "embedding").unionByName(n.select((F.col("vec_id") - 1).alias("set"), F.lit(1).alias("node"), "embedding"))
+    clips = both.select("set", "node", F.lit(0.0).alias("start_s"), F.lit(1.0).alias("fs"), F.col("embedding").cast("array<double>").alias("samples"))
+    length = n.agg(F.max(F.size("embedding"))).first()[0] or 1
+    delays = C.window_delays(clips, float(length), float(length), 16.0, between=False).where("node = 1")
+    whole = delays.join(n.select(F.col("vec_id").alias("set")), "set", "left_semi")
+    return whole.select(F.col("set").alias("vec_id"), F.col("delay_s").cast("int").alias("lag"), F.round("peak", 6).alias("peak"))
 
 
 @query(

@@ -250,13 +250,13 @@ def unpromoted(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, label FROM embeddings WHERE vec_id % 10 <> 3) SELECT vec_id, label, u.name, round(CAST(u.score AS DOUBLE), 6) AS score FROM s, LATERAL (VALUES ('a', a), ('b', b), ('c', c)) u(name, score) WHERE u.score > 0"
+    "WITH s AS (SELECT CASE WHEN vec_id % 10 <> 3 THEN vec_id END AS id, label, unnest(embedding) AS score, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT id AS vec_id, label, 'c' || k AS name, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score > 0 AND id IS NOT NULL"
 )
 def observations(spark, sf_dir):
     """One row for each class that a tag scores above nothing; rows without an identity give none."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 10 <> 3")
-    scores = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.slice("embedding", 1, 3))
-    return e.select("vec_id", "label", F.explode(scores).alias("name", "score")).where("score > 0").withColumn("score", F.round(F.col("score").cast("double"), 6))
+    e = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.expr("if(vec_id % 10 <> 3, vec_id, NULL)"))
+    scores = e.select("vec_id", "label", F.posexplode("embedding").alias("k", "score")).where("score > 0 and vec_id is not null")
+    return scores.select("vec_id", "label", F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 @query(
@@ -423,14 +423,14 @@ def window_from_survey(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT n_nationkey % 5 * 20.0 AS x, n_regionkey * 25.0 AS y FROM nation WHERE n_nationkey < 12), c AS (SELECT unnest(range(0, 20)) AS i), g AS (SELECT a.i AS i, b.i AS j FROM c a, c b), "
+    "WITH n AS (SELECT n_nationkey % 5 * 20.0 AS x, n_regionkey * 25.0 AS y FROM nation), c AS (SELECT unnest(range(0, 20)) AS i), g AS (SELECT a.i AS i, b.i AS j FROM c a, c b), "
     "u AS (SELECT i, j, (i * 10.0 - 45 - x) / greatest(sqrt(pow(i * 10.0 - 45 - x, 2) + pow(j * 10.0 - 35 - y, 2)), 1e-9) AS u, (j * 10.0 - 35 - y) / greatest(sqrt(pow(i * 10.0 - 45 - x, 2) + pow(j * 10.0 - 35 - y, 2)), 1e-9) AS v FROM g, n), "
     "s AS (SELECT i, j, sum(u*u) - sum(u)*sum(u)/count(*) AS a, sum(v*v) - sum(v)*sum(v)/count(*) AS b, sum(u*v) - sum(u)*sum(v)/count(*) AS c FROM u GROUP BY 1, 2), d AS (SELECT sqrt((a + b) / (a*b - c*c)) AS dop FROM s WHERE abs(a*b - c*c) >= 1e-12) "
     "SELECT count(*) AS n_cells, round(median(dop), 4) AS median_dop, round(quantile_cont(dop, 0.95), 4) AS p95_dop, round(count(*) FILTER (dop < 2) / count(*), 6) AS usable FROM d"
 )
 def dop_grid(spark, sf_dir):
     """How well an array locates sources over a grid of cells."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 12").select((F.col("n_nationkey") % 5 * 20.0).alias("x"), (F.col("n_regionkey") * 25.0).alias("y"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5 * 20.0).alias("x"), (F.col("n_regionkey") * 25.0).alias("y"))
     side = F.sequence(F.lit(0), F.lit(19))
     cells = spark.range(1).select(F.explode(side).alias("i")).select("i", F.explode(side).alias("j"))
     d = S.dilution(F.col("i") * 10.0 - 45, F.col("j") * 10.0 - 35, n, cells, ["i", "j"]).where("dop is not null")

@@ -168,17 +168,20 @@ def canonical_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.gone", "int").isNull().alias("is_missing"), F.left(F.sha2(text, 256), F.lit(32)).alias("canonical"))
 
 
+_KINDS = {"bird": "animal", "engine": "vehicle", "rain": "weather", "speech": "human"}
+
+
 @query(
-    "WITH s AS (SELECT vec_id, u.name, round(CAST(u.s AS DOUBLE), 6) AS s FROM embeddings, LATERAL (VALUES ('bird', embedding[1]), ('engine', embedding[2]), ('rain', embedding[3]), ('wren', embedding[4])) u(name, s)), "
-    "t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name DESC) = 1) SELECT vec_id, name AS top, CASE WHEN name IN ('bird', 'wren') THEN 'animal' WHEN name = 'engine' THEN 'vehicle' ELSE 'weather' END AS family FROM t"
+    "WITH s AS (SELECT vec_id, round(CAST(unnest(embedding) AS DOUBLE), 6) AS s, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k DESC) = 1) "
+    "SELECT vec_id, ['bird', 'engine', 'rain', 'speech'][k % 4 + 1] || '/' || k AS top, ['animal', 'vehicle', 'weather', 'human'][k % 4 + 1] AS family FROM t"
 )
 def class_families(spark, sf_dir):
-    """The best scored class of each vector and the family it belongs to."""
-    names = ("bird", "engine", "rain", "wren")
-    scored = F.array(*[F.struct(F.round(F.get("embedding", F.lit(k)).cast("double"), 6).alias("s"), F.lit(n).alias("name")) for k, n in enumerate(names)])
-    family = F.create_map(*[F.lit(x) for pair in (("bird", "animal"), ("wren", "animal"), ("engine", "vehicle"), ("rain", "weather")) for x in pair])
-    top = table(spark, sf_dir, "embeddings").select("vec_id", F.array_max(scored)["name"].alias("top"))
-    return top.select("vec_id", "top", F.element_at(family, F.col("top")).alias("family"))
+    """The best scored of all classes of each vector, and the family that the first part of its name belongs to."""
+    family = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    best = F.array_max(F.transform("embedding", lambda x, k: F.struct(F.round(x.cast("double"), 6).alias("s"), k.alias("k"))))
+    name = F.concat_ws("/", F.get(F.array(*[F.lit(n) for n in _KINDS]), F.col("k") % 4), F.col("k").cast("string"))
+    top = table(spark, sf_dir, "embeddings").where("size(embedding) > 0").select("vec_id", best["k"].alias("k")).select("vec_id", name.alias("top"))
+    return top.select("vec_id", "top", F.element_at(family, F.split("top", "/")[0]).alias("family"))
 
 
 @query(
@@ -232,10 +235,10 @@ def outbox_transitions(spark, sf_dir):
 
 @query(
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v) "
-    "SELECT vec_id, CASE WHEN norm > 0 AND len(v) = 64 THEN list_transform(v[1:4], lambda x: round(x / norm, 5)) END AS head, CASE WHEN len(v) <> 64 THEN 'wrong_size' WHEN norm = 0 THEN 'no_direction' END AS rejection FROM n"
+    "SELECT vec_id, CASE WHEN norm > 0 AND len(v) = 64 THEN list_transform(v, lambda x: round(x / norm, 5)) END AS vector, CASE WHEN len(v) <> 64 THEN 'wrong_size' WHEN norm = 0 THEN 'no_direction' END AS rejection FROM n"
 )
 def embed_records(spark, sf_dir):
     """One vector of length one or one rejection for each row."""
     e = F.col("embedding")
     rejection = F.when(F.size(e) != 64, "wrong_size").when(A.dot(e, e) == 0, "no_direction")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(rejection.isNull(), F.transform(F.slice(A.l2_normalised(e), 1, 4), lambda x: F.round(x, 5))).alias("head"), rejection.alias("rejection"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(rejection.isNull(), F.transform(A.l2_normalised(e), lambda x: F.round(x, 5))).alias("vector"), rejection.alias("rejection"))

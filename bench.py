@@ -12,7 +12,7 @@ from echofold import plans
 
 QUERIES = [
     "coactivity_bins", "pair_bin_cooccurrence", "burst_sessions", "fleet_components", "nearest_bracket", "guard_blocks", "interval_overlap_join", "band_join_counts",
-    "nearest_match", "reconcile_full_outer", "first_wins_persist", "bucket_digests", "nearest_index_percentiles", "aggregate_compare_k_anon", "logodds_fusion", "associate_events",
+    "nearest_match", "reconcile_full_outer", "first_wins_persist", "bucket_digests", "nearest_index_percentiles", "aggregate_compare_k_anon", "logodds_fusion", "associate_events", "burst_tau", "pair_census",
 ]
 
 

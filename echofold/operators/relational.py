@@ -10,18 +10,26 @@ UNIT = "\u001f"
 
 
 def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The row with the greatest ``order`` of each key, as an aggregate (no sort of whole groups)."""
+    """The row with the greatest ``order`` of each key, by a partial aggregation in each task and a final one. A struct has no buffer that Spark can change in place, so tasks sort by key; none sorts a key's rows by ``order``."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in (*order, *rest)])
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str], body: str) -> DataFrame:
-    """Per key: the first body, arrivals, repeats of it, and arrivals whose body differs from it."""
-    # Two partial aggregations: per body, then per key. Nothing is sorted, and no group is gathered.
-    bodies = df.groupBy(*keys, body).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_at"))
-    first = F.min_by("_n", "_at")
-    return bodies.groupBy(*keys).agg(F.min_by(body, "_at").alias("body"), F.sum("_n").alias("arrivals"), (first - 1).alias("duplicates"), (F.sum("_n") - first).alias("conflicts"))
+def first_wins(df: DataFrame, keys: list[str], order: list[str], body: str, hot_keys: bool = False) -> DataFrame:
+    """Per key: the first body, arrivals, repeats of it, and arrivals whose body differs from it.
+
+    One shuffle by key, where each key's rows pass in order. With ``hot_keys`` bodies are counted where they are read, then per key: two shuffles, the second of one row a body, and
+    no key's rows in one task.
+    """
+    if hot_keys:
+        bodies = df.groupBy(*keys, body).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_at"))
+        first = F.min_by("_n", "_at")
+        return bodies.groupBy(*keys).agg(F.min_by(body, "_at").alias("body"), F.sum("_n").alias("arrivals"), (first - 1).alias("duplicates"), (F.sum("_n") - first).alias("conflicts"))
+    passing = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col(body).eqNullSafe(F.col("_first"))
+    rows = df.withColumn("_first", F.first(body).over(passing))
+    return rows.groupBy(*keys).agg(F.any_value("_first").alias("body"), F.count(F.lit(1)).alias("arrivals"), (F.count_if(same) - 1).alias("duplicates"), F.count_if(~same).alias("conflicts"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], rules) -> DataFrame:

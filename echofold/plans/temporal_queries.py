@@ -150,14 +150,15 @@ def decorrelation_lags(spark, sf_dir):
 
 @query(
     f"WITH {DETS}, c AS (SELECT node, seq, t - {HOUR} AS l_from, t + {HOUR} AS l_to FROM d WHERE source = 'purchase'), s AS (SELECT node, seq, t AS r_from, t + {2 * HOUR} AS r_to FROM d WHERE source = 'view') "
-    "SELECT c.node, c.seq AS l_id, s.seq AS r_id FROM c JOIN s ON c.node = s.node AND s.r_from < c.l_to AND s.r_to > c.l_from "
+    "SELECT c.node, c.seq AS l_id, s.seq AS r_id, count(*) OVER (PARTITION BY c.seq) AS n_partners, count(*) OVER (PARTITION BY c.seq) > 64 AS truncated FROM c JOIN s ON c.node = s.node AND s.r_from < c.l_to AND s.r_to > c.l_from "
     "QUALIFY row_number() OVER (PARTITION BY c.seq ORDER BY s.r_from, s.seq) <= 64"
 )
 def interval_overlap_join(spark, sf_dir):
+    """Clips with the scenes that they overlap, the first 64 of each; how many there are, and whether that is more, stands beside every one."""
     d = detections(spark, sf_dir)
     clips = d.where("source = 'purchase'").select("node", F.col("seq").alias("l_id"), (F.col("t") - HOUR).alias("l_from"), (F.col("t") + HOUR).alias("l_to"))
     scenes = d.where("source = 'view'").select("node", F.col("seq").alias("r_id"), F.col("t").alias("r_from"), (F.col("t") + 2 * HOUR).alias("r_to"))
-    return M.overlapping(clips, scenes, "node", 2 * HOUR, most=64).select("node", "l_id", "r_id")
+    return M.overlapping(clips, scenes, "node", 2 * HOUR, most=64).select("node", "l_id", "r_id", "n_partners", "truncated")
 
 
 @query(

@@ -26,12 +26,12 @@ def _view(rows, name: str) -> str:
 
 
 @query(
-    "WITH l AS (SELECT event_type AS tenant, CAST(event_id AS VARCHAR) AS record_id, epoch_us(ts) / 1e6 AS next_attempt_at FROM events WHERE event_id % 3 <> 1) SELECT tenant, record_id, next_attempt_at, row_number() OVER (PARTITION BY tenant ORDER BY next_attempt_at, record_id) AS place "
+    "WITH l AS (SELECT event_type AS tenant, CAST(event_id AS VARCHAR) AS record_id, epoch_us(ts) / 1e6 AS next_attempt_at FROM events) SELECT tenant, record_id, next_attempt_at, row_number() OVER (PARTITION BY tenant ORDER BY next_attempt_at, record_id) AS place "
     "FROM l WHERE next_attempt_at <= (SELECT min(next_attempt_at) + 864000 FROM l) QUALIFY place <= 25"
 )
 def claims_by_tenant(spark, sf_dir):
     """The 25 oldest due rows of each tenant, by a table function."""
-    d = detections(spark, sf_dir).where("seq % 3 <> 1").select(F.col("source").alias("tenant"), F.col("seq").cast("string").alias("record_id"), (F.col("t") / 1e6).alias("next_attempt_at"))
+    d = detections(spark, sf_dir).select(F.col("source").alias("tenant"), F.col("seq").cast("string").alias("record_id"), (F.col("t") / 1e6).alias("next_attempt_at"))
     first = d.agg(F.min("next_attempt_at")).first()[0]
     view = _view(d, "echofold_ledger")
     return spark.sql(f"SELECT * FROM claim_pending(TABLE({view}) PARTITION BY (tenant) ORDER BY (next_attempt_at, record_id), 25, {(first or 0.0) + 864000!r}D)")

@@ -300,7 +300,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bo
     """Encode documents (doc_id, text) and decode the ids again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded text), n_reused (tokens
-    taken from shared chunks) and, if asked for, ids as array<int>.
+    taken from shared chunks, or from an equal text) and, if asked for, ids as array<int>.
 
     A null text counts as empty and has no tokens. ``doc_id`` may be null, of any type and need not identify a row; rows that repeat stay, each
     with its result. Texts of any length and script are encoded whole. Of a chunk that a text holds twice only the first is taken over. A
@@ -323,36 +323,41 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, keep_ids: bo
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, tokens, decimals = zstandard.ZstdDecompressor(), *(_tables(path)[:2] if local else ((), ()))
+
+        def told(text: bytes, ids: list[int], taken: int) -> tuple:
+            if not local:
+                back = _tokenizer(path).decode(ids, skip_special_tokens=False)
+                return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), taken, ids
+            back = b"".join(map(tokens.__getitem__, ids))
+            # Bytes that are the text's own are valid UTF-8.
+            decoded = back if back == text else back.decode("utf-8", "replace").encode()
+            return len(ids), hashlib.sha256(b"".join(map(decimals.__getitem__, ids))[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest(), taken, ids
+
+        # Copies of a text with shared chunks come one after another, as they are joined by text.
+        last, result = None, None
         for batch in batches:
             for part in parts_by_bytes(batch, 1, _BATCH):
-                texts, listed = part.column(1).to_pylist(), part.column(2).to_pylist()
+                texts, listed, keys = part.column(1).to_pylist(), part.column(2).to_pylist(), list(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
                 fresh = iter(encode_texts([t.decode() for t, g in zip(texts, listed) if not g], path))
-                n, reused, digests, decoded, all_ids = [], [], [], [], []
-                for text, given in zip(texts, listed):
-                    ids, taken = encode_with_chunks(text, [(c["start"], _unwire(c["chunk"], expand)) for c in given], path) if given else (next(fresh), 0)
-                    n.append(len(ids))
-                    reused.append(taken)
-                    if local:
-                        digests.append(hashlib.sha256(b"".join([decimals[i] for i in ids])[:-1]).hexdigest())
-                        back = b"".join([tokens[i] for i in ids])
-                        # Bytes that are the text's own are valid UTF-8.
-                        decoded.append(hashlib.sha256(back if back == text else back.decode("utf-8", "replace").encode()).hexdigest())
+                out = []
+                for text, given, key in zip(texts, listed, keys):
+                    if not given:
+                        out.append(told(text, next(fresh), 0))
+                        continue
+                    if key == last:
+                        result = (*result[:3], result[0], result[4])
                     else:
-                        digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                        decoded.append(hashlib.sha256(_tokenizer(path).decode(ids, skip_special_tokens=False).encode()).hexdigest())
-                    all_ids.append(ids)
-                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(reused, pa.int64())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_reused"]
-                if keep_ids:
-                    arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                        last, result = key, told(text, *encode_with_chunks(text, [(c["start"], _unwire(c["chunk"], expand)) for c in given], path))
+                    out.append(result)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] + ([pa.list_(pa.int32())] if keep_ids else [])
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_reused", "ids"]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names[: len(kinds) + 1])
 
     # Each text is decoded as soon as it is encoded, so ids don't leave the task unless asked for.
     schema = T.StructType([rows.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_reused", "long")
     if keep_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    fields = ["doc_id", "bytes", "given"]
+    fields = ["doc_id", "bytes", "given", "ha", "hb"]
     every = alone.select(*fields) if both is None else alone.select(*fields).unionByName(both.select(*fields))
     return every.mapInArrow(assemble, schema)
 

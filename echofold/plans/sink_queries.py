@@ -79,3 +79,17 @@ def appended_index(spark, sf_dir):
         index.append(f"batch-{k}", e.where(F.floor((F.col("at") - F.lit(bounds[0] or 0)) / width) == k))
     rows = index.rows(schema).groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
     return index.current(schema, "key", "at").drop("generation").join(rows, "key")
+
+
+@query(
+    "WITH i AS (SELECT o_orderkey AS clip_key, CASE WHEN o_orderkey % 9 <> 4 THEN epoch(CAST(o_orderdate AS TIMESTAMP)) END AS t, CAST(o_custkey * 1000 AS DOUBLE) AS mtime, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders), "
+    "c AS (SELECT *, sum(bytes) OVER () - sum(bytes) OVER () * 3 // 5 AS excess, coalesce(sum(bytes) OVER (ORDER BY t IS NOT NULL, coalesce(t, mtime), clip_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i) SELECT clip_key, bytes, before < excess AS pruned FROM c"
+)
+def pruned_clips(spark, sf_dir):
+    """Which clips' sound goes so that three fifths of the bytes stay: those without a time, then the oldest."""
+    from echofold.sinks.buffer import pruned
+
+    t = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))").cast("double")
+    index = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_key"), F.when(F.col("o_orderkey") % 9 != 4, t).alias("t"), (F.col("o_custkey") * 1000).cast("double").alias("mtime"), F.floor("o_totalprice").cast("long").alias("bytes"))
+    total = index.agg(F.sum("bytes")).first()[0] or 0
+    return pruned(index, total * 3 // 5).select("clip_key", "bytes", "pruned")

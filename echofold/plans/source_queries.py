@@ -320,3 +320,31 @@ def bridge_sources(spark, sf_dir):
     return rows.groupBy("src", "generation", "reason").agg(
         F.count("*").alias("n"), (F.sum(F.col("utc_us").cast("decimal(38,0)")) % 1000000007).cast("decimal(38,0)").alias("utc"), F.count("frame").alias("n_frames"), F.count("mel").alias("n_mel"),
     )
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id AS k, event_type, event_id % 10 AS r FROM events), i AS (SELECT k, max(event_id) FILTER (r <> 3 AND r <> 7) AS last FROM e GROUP BY 1), c AS (SELECT 'c' || k AS clip_key, 'clips/' || k || '/' || last || '.wav' AS clip_path, k FROM i WHERE last IS NOT NULL), "
+    "p AS (SELECT k, event_type || '-' || r AS label, r / 10.0 + 0.05 AS score FROM e WHERE event_id % 5 <> 4), b AS (SELECT k, max({'score': score, 'label': label}) AS b, count(*) AS n FROM p GROUP BY 1), t AS (SELECT k, count(*) AS n FROM e GROUP BY 1) "
+    "SELECT clip_key, clip_path, CAST(t.n AS INTEGER) AS n_tags, b.b.label AS top, round(b.b.score, 3) AS top_score FROM c JOIN t USING (k) LEFT JOIN b USING (k)"
+)
+def annotation_sources(spark, sf_dir):
+    """Stored clips from an index log with what two lanes of taggers, who write in five shapes, said of them."""
+    from echofold.sources import annotations as N
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), "event_type", (F.col("event_id") % 10).alias("r"))
+    key, r = F.concat(F.lit("c"), F.col("k").cast("string")), F.col("r")
+    clip = F.concat(F.when(r == 7, "../").otherwise(""), F.lit("clips/"), F.col("k").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".wav"))
+    index = _landed(e, F.to_json(F.struct(key.alias("clip_key"), F.when(r == 3, "refused").otherwise("stored").alias("outcome"), clip.alias("path"), F.col("event_id").alias("at"))))
+    label, score = F.concat_ws("-", "event_type", r.cast("string")), r / 10.0 + 0.05
+    shape = F.col("event_id") % 5
+    one = F.struct(label.alias("label"), score.alias("score"))
+    line = (
+        F.when(shape == 0, F.to_json(F.struct(key.alias("clip_key"), F.array(one).alias("scores"))))
+        .when(shape == 1, F.to_json(F.struct(key.alias("key"), F.create_map(label, score).alias("top_scores"))))
+        .when(shape == 2, F.concat(F.lit('{"clip_key": "'), key, F.lit('", "predictions": [["'), label, F.lit('", '), score.cast("string"), F.lit("]]}")))
+        .when(shape == 3, F.to_json(F.struct(key.alias("clip_key"), F.struct(label.alias("name"), score.alias("score")).alias("top"))))
+        .otherwise(F.to_json(F.struct(key.alias("clip_key"), F.array(F.struct(F.lit("").alias("label"), F.lit(1.0).alias("score"))).alias("scores"))))
+    )
+    lanes = {name: logs.text_lines(spark, _landed(e.where(F.col("event_id") % 2 == k), line)) for k, name in enumerate(("audioset", "birdnet"))}
+    items = N.annotation_items(logs.text_lines(spark, index), lanes)
+    return items.select("clip_key", "clip_path", F.size("tags").alias("n_tags"), "top", F.round("top_score", 3).alias("top_score"))

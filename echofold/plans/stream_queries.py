@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echofold.operators import temporal as W
-from echofold.plans.tables import DETS, HOUR, detections, table
+from echofold.plans.tables import DETS, HOUR, detections, micros, table
 from echofold.scratch import new_path
 from echofold.streaming import gates
 from echofold.streaming import horizons as H
@@ -110,10 +110,23 @@ def resumed_scores(spark, sf_dir):
 
 
 @query(
-    "WITH f AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 14 WHEN 1 THEN 172 WHEN 2 THEN 173 ELSE 20 END AS size, event_id // 500 AS batch FROM events) SELECT batch, CASE size WHEN 14 THEN 'status' WHEN 172 THEN 'sketch' WHEN 173 THEN 'sketch_tagged' ELSE 'refused' END AS route, count(*) AS n, count(DISTINCT user_id) AS n_nodes FROM f GROUP BY 1, 2"
+    "WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t, (event_id * 7 + user_id) % 3 AS batch FROM events), b AS (SELECT min(t) + (max(t) - min(t)) * 0.4 AS u1, min(t) + (max(t) - min(t)) * 0.8 AS u2, max(t) AS u3 FROM e), "
+    "f AS (SELECT e.*, CASE WHEN batch = 0 AND t <= u1 THEN 1 WHEN batch <= 1 AND t <= u2 THEN 2 ELSE 3 END AS flush, u1, u2 FROM e, b) "
+    "SELECT flush, CASE event_id % 4 WHEN 0 THEN 'status' WHEN 1 THEN 'sketch' WHEN 2 THEN 'sketch_tagged' ELSE 'refused' END AS route, (flush = 2 AND t <= u1) OR (flush = 3 AND t <= u2) AS late, count(*) AS n, count(DISTINCT user_id) AS n_nodes FROM f GROUP BY 1, 2, 3"
 )
 def routed_frames(spark, sf_dir):
-    """Frames by their length, flush by flush."""
+    """Frames buffered in three batches, one of them sent twice, and flushed after each up to a time: by their length, and whether they came late."""
+    from echofold.sinks.buffer import FrameBuffer
+
     size = F.expr("CASE event_id % 4 WHEN 0 THEN 14 WHEN 1 THEN 172 WHEN 2 THEN 173 ELSE 20 END")
-    route = F.when(size == 14, "status").when(size == 172, "sketch").when(size == 173, "sketch_tagged").otherwise("refused")
-    return table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("batch"), route.alias("route")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_nodes"))
+    e = table(spark, sf_dir, "events").select(((F.col("event_id") * 7 + F.col("user_id")) % 3).alias("batch"), (micros("ts") / 1e6).alias("t"), F.col("user_id").alias("node"), F.encode(F.repeat(F.lit("x"), size), "UTF-8").alias("frame"))
+    first, last = e.agg(F.min("t"), F.max("t")).first()
+    buffer = FrameBuffer(spark, new_path(spark), "t double, node long, frame binary")
+    out = None
+    for k, share in enumerate((0.4, 0.8, 1.0)):
+        for _ in range(1 + k % 2):
+            buffer.ingest(e.where(F.col("batch") == k).drop("batch"), k)
+        n = buffer.flush(0.0 if first is None else last if share == 1.0 else first + (last - first) * share)
+        rows = buffer.flushed(n).groupBy(F.lit(n).alias("flush"), "route", "late").agg(F.count("*").alias("n"), F.count_distinct("node").alias("n_nodes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -130,3 +130,38 @@ def routed_frames(spark, sf_dir):
         rows = buffer.flushed(n).groupBy(F.lit(n).alias("flush"), "route", "late").agg(F.count("*").alias("n"), F.count_distinct("node").alias("n_nodes"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query(
+    "WITH k AS (SELECT c_nationkey AS perimeter, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer), n AS (SELECT perimeter, count(*) AS n FROM k GROUP BY 1) "
+    "SELECT perimeter, 'silenced' AS outcome, CAST(round(k * 0.05, 4) AS DOUBLE) AS onset_s, CAST(round((k + 4) * 0.05, 4) AS DOUBLE) AS recovered_s, CAST(15 AS DOUBLE) AS drop_db, 'a,b' AS mics, CAST(50 AS DOUBLE) AS perimeter_m, CAST(CASE WHEN k % 40 = 10 THEN 1 ELSE 0 END AS BIGINT) AS n_impacts, CAST(CASE WHEN k % 40 = 10 THEN 1.0 ELSE 0.75 END AS DOUBLE) AS confidence FROM k JOIN n USING (perimeter) WHERE k % 20 = 10 AND k + 4 < n"
+)
+def chorus_silences(spark, sf_dir):
+    """Silences of two of three microphones around each nation's perimeter, a frame for each of its customers, every other one with an impact."""
+    from echofold.streaming.tripwire import silences
+
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    k = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("perimeter"), (F.row_number().over(order) - 1).alias("k"))
+    t, silent = F.col("k") * 0.05, (F.col("k") % 20).between(10, 13)
+    mics = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("x"), F.lit(y).alias("y")) for n, x, y in (("a", 0.0, 0.0), ("b", 30.0, 40.0), ("c", 10.0, 0.0))]))
+    levels = k.select("perimeter", "k", mics.alias("m")).select("perimeter", t.alias("t"), F.lit("level").alias("kind"), "m.name", F.when(silent & (F.col("m.name") != "c"), -35.0).otherwise(-20.0).alias("value"), "m.x", "m.y", F.lit(0.0).alias("z"))
+    nothing = F.lit(None).cast("double")
+    impacts = k.select("perimeter", (t - F.when(F.col("k") % 40 == 10, 0.0).otherwise(1e6)).alias("t"), F.lit("impact").alias("kind"), F.lit("s").alias("name"), nothing.alias("value"), nothing.alias("x"), nothing.alias("y"), nothing.alias("z"))
+    out = silences(levels.unionByName(impacts))
+    return out.select("perimeter", "outcome", F.round("onset_s", 4).alias("onset_s"), F.round("recovered_s", 4).alias("recovered_s"), F.round("drop_db", 4).alias("drop_db"), F.array_join("mics", ",").alias("mics"), F.round("perimeter_m", 4).alias("perimeter_m"), "n_impacts", "confidence")
+
+
+@query(
+    "WITH e AS (SELECT a.vec_id, list_min(a.embedding) AS lo, list_max(a.embedding) AS hi, len(a.embedding) AS n, b.vec_id IS NOT NULL AS two, list_max(list_transform(list_concat(a.embedding, coalesce(b.embedding, [])), lambda x: abs(x))) AS peak FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1) "
+    "SELECT CAST(vec_id AS VARCHAR) AS window_id, CASE WHEN two THEN 'a' END AS reference, CASE WHEN two THEN 2 ELSE 0 END AS n_arrivals, CASE WHEN two THEN peak > 0.3 END AS speech, CASE WHEN NOT two THEN 'bad_window' END AS refusal, CASE WHEN two THEN true END AS bounded FROM e"
+)
+def transient_windows(spark, sf_dir):
+    """What may be kept of windows of sound, each row's vector and the next one's being two nodes' clips; delays stay within what was asked."""
+    from echofold.operators import clips as C
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    both = e.select("vec_id", F.lit("a").alias("node"), "samples").unionByName(e.select((F.col("vec_id") - 1).alias("vec_id"), F.lit("b").alias("node"), "samples"))
+    windows = both.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("node", "samples"))).alias("clips")).join(e.select("vec_id"), "vec_id", "left_semi")
+    found = C.derived_evidence(windows.select(F.col("vec_id").alias("window_id"), F.lit(16000.0).alias("fs"), "clips"), lambda x, fs: bool(abs(x).max() > 0.3), 0.001)
+    bounded = F.when(F.col("arrivals").isNotNull(), F.forall("arrivals", lambda a: (F.abs(a["delay_s"]) <= 0.001 + 1 / 16000) & (a["sigma_s"] > 0)))
+    return found.select("window_id", "reference", F.coalesce(F.size("arrivals"), F.lit(0)).alias("n_arrivals"), "speech", "refusal", bounded.alias("bounded"))

@@ -267,7 +267,7 @@ def frozen_ranges(spark, sf_dir):
 @query(
     f"WITH {DETS}, r AS (SELECT seq, node, t, CASE WHEN seq % 23 = 1 THEN 'bad_json' WHEN seq % 23 = 2 THEN 'phone_skipped' WHEN seq % 23 = 3 THEN 'unrecognised_frame' WHEN seq % 23 = 4 THEN 'bands_disagree' ELSE 'admitted' END AS reason FROM d) "
     "SELECT CASE WHEN reason = 'bad_json' THEN '?' ELSE 'n' || node END AS node, reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'admitted' THEN t END) AS BIGINT) AS utc_us, count(*) FILTER (reason = 'admitted' AND seq % 2 = 0) AS n_second, "
-    "round(coalesce(sum(CASE WHEN reason = 'admitted' THEN CASE WHEN seq % 2 = 0 THEN 16000.0 WHEN seq % 3 = 0 THEN 44100.0 ELSE 48000.0 END END), 0), 1) AS fs_total FROM r GROUP BY 1, 2"
+    "CAST(coalesce(sum(CASE WHEN reason = 'admitted' THEN CASE WHEN seq % 2 = 0 THEN 16000 WHEN seq % 3 = 0 THEN 44100 ELSE 48000 END END), 0) AS DOUBLE) AS fs_total FROM r GROUP BY 1, 2"
 )
 def sketch_corpus(spark, sf_dir):
     """Records with frames of both versions from captured messages; their times to the microsecond, their rate from the frame or else the message."""
@@ -294,7 +294,7 @@ def sketch_corpus(spark, sf_dir):
 @query(
     "WITH r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'dets' WHEN 1 THEN 'scene' ELSE 'ring' END AS src, CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'G1' ELSE 'G3' END WHEN 1 THEN 'scene' ELSE 'array' END AS generation, event_id, epoch_us(ts) AS utc_us, "
     "CASE WHEN event_id % 3 = 0 AND event_id % 29 = 1 THEN 'row_width_2_expected_' || CASE WHEN user_id % 2 = 0 THEN 9 ELSE 11 END WHEN event_id % 3 = 1 AND event_id % 29 = 2 THEN 'bad_mel_hex' WHEN event_id % 3 = 2 AND event_id % 29 = 3 THEN 'frame_length' ELSE 'admitted' END AS reason FROM events) "
-    "SELECT src, generation, reason, count(*) AS n, CAST(sum(CASE WHEN reason NOT LIKE 'row_width%' THEN utc_us END) AS HUGEINT) % 1000000007 AS utc, count(*) FILTER (reason NOT LIKE 'row_width%' AND src <> 'scene') AS n_frames, count(*) FILTER (src = 'scene' AND reason = 'admitted') AS n_mel FROM r GROUP BY 1, 2, 3"
+    "SELECT src, generation, reason, count(*) AS n, CAST(CAST(sum(CASE WHEN reason NOT LIKE 'row_width%' THEN utc_us END) AS HUGEINT) % 1000000007 AS BIGINT) AS utc, count(*) FILTER (reason NOT LIKE 'row_width%' AND src <> 'scene') AS n_frames, count(*) FILTER (src = 'scene' AND reason = 'admitted') AS n_mel FROM r GROUP BY 1, 2, 3"
 )
 def bridge_sources(spark, sf_dir):
     """The card's detections in two layouts (one whose header lies), its scene file and the live ring, as rows of one set of columns."""
@@ -318,7 +318,7 @@ def bridge_sources(spark, sf_dir):
     pages = e.where(i % 3 == 2).groupBy(F.floor(i / 150).cast("string").alias("path")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("line"))
     rows = bridge_rows(dets, scene, pages)
     return rows.groupBy("src", "generation", "reason").agg(
-        F.count("*").alias("n"), (F.sum(F.col("utc_us").cast("decimal(38,0)")) % 1000000007).cast("decimal(38,0)").alias("utc"), F.count("frame").alias("n_frames"), F.count("mel").alias("n_mel"),
+        F.count("*").alias("n"), (F.sum(F.col("utc_us").cast("decimal(38,0)")) % 1000000007).cast("long").alias("utc"), F.count("frame").alias("n_frames"), F.count("mel").alias("n_mel"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions import kernels
+from echofold.scratch import spread
 
 
 def joint_calibration(arrivals: DataFrame, survey: DataFrame, speed: float, fixed_up: float = 0.0, margin: float = 500.0, step: float = 10.0) -> DataFrame:
@@ -23,24 +24,29 @@ def joint_calibration(arrivals: DataFrame, survey: DataFrame, speed: float, fixe
     rows = arrivals.where("t is not null").groupBy("set", "event", "node").agg(F.min(F.col("t").cast("double")).alias("t"), F.bool_or("biased").alias("biased")).join(known, "node")
     kind = arrivals.schema["set"].dataType.simpleString()
 
-    def solve(batch: pd.DataFrame) -> pd.DataFrame:
-        nodes = batch.drop_duplicates("node").sort_values("node")
-        events = np.sort(batch["event"].unique())
-        t = np.full((len(events), len(nodes)), np.nan)
-        t[np.searchsorted(events, batch["event"]), np.searchsorted(nodes["node"].to_numpy(), batch["node"])] = batch["t"]
-        biased = batch.groupby("node")["biased"].any().sort_index().to_numpy()
-        fit = kernels.joint_fit(nodes[["x", "y", "z"]].to_numpy(), t, biased, speed, fixed_up, margin, step)
-        counts = (fit["n_events"], fit["n_equations"], fit["n_unknowns"])
-        out = [("set", None, None, None, None, None, fit["rms_s"], *counts, fit["refusal"])]
-        if fit["bias_s"] is not None:
-            out += [("node", str(n), None, None, b, s, None, *counts, fit["refusal"]) for n, b, s in zip(nodes["node"], fit["bias_s"], fit["sigma_s"])]
-            out += [("event", str(e), x, y, None, None, None, *counts, fit["refusal"]) for e, (x, y) in zip(events, fit["source"])]
-        table = pd.DataFrame(out, columns=["kind", "id", "e_m", "n_m", "bias_s", "sigma_s", "rms_s", "n_events", "n_equations", "n_unknowns", "refusal"])
-        table.insert(0, "set", batch["set"].iloc[0])
-        return table
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["set", "kind", "id", "e_m", "n_m", "bias_s", "sigma_s", "rms_s", "n_events", "n_equations", "n_unknowns", "refusal"]
+        for batch in batches:
+            out = []
+            for name, heard in zip(batch["set"], batch["heard"]):
+                places = {a["node"]: (a["x"], a["y"], a["z"]) for a in heard}
+                nodes, events = sorted(places), sorted({a["event"] for a in heard})
+                row, column = {e: k for k, e in enumerate(events)}, {n: k for k, n in enumerate(nodes)}
+                t, biased = np.full((len(events), len(nodes)), np.nan), np.zeros(len(nodes), bool)
+                for a in heard:
+                    t[row[a["event"]], column[a["node"]]] = a["t"]
+                    biased[column[a["node"]]] |= bool(a["biased"])
+                fit = kernels.joint_fit([places[n] for n in nodes], t, biased, speed, fixed_up, margin, step)
+                counts = (fit["n_events"], fit["n_equations"], fit["n_unknowns"])
+                out.append((name, "set", None, None, None, None, None, fit["rms_s"], *counts, fit["refusal"]))
+                if fit["bias_s"] is not None:
+                    out += [(name, "node", str(n), None, None, b, s, None, *counts, fit["refusal"]) for n, b, s in zip(nodes, fit["bias_s"], fit["sigma_s"])]
+                    out += [(name, "event", str(e), x, y, None, None, None, *counts, fit["refusal"]) for e, (x, y) in zip(events, fit["source"])]
+            yield pd.DataFrame(out, columns=names)
 
     schema = f"set {kind}, kind string, id string, e_m double, n_m double, bias_s double, sigma_s double, rms_s double, n_events long, n_equations long, n_unknowns long, refusal string"
-    return rows.groupBy("set").applyInPandas(solve, schema)
+    sets = spread(rows, "set").groupBy("set").agg(F.collect_list(F.struct("event", "node", "x", "y", "z", "t", "biased")).alias("heard"))
+    return sets.mapInPandas(solve, schema)
 
 
 def known_source_offset(path_m: Column, sigma_pos_m: Column, sigma_node_s: Column, sigma_pick_s: Column, sigma_temp_c: Column, temp_c: Column, n_chirps: Column, source_moves: Column) -> Column:
@@ -81,4 +87,4 @@ def cone_fits(arrivals: DataFrame, survey: DataFrame, mach_speed: str, sound_spe
                 out.append((event, len(heard), *fit, refusal))
             yield pd.DataFrame(out, columns=["event", "n_nodes", "bearing_deg", "offset_m", "rms_s", "refusal"])
 
-    return rows.mapInPandas(solve, f"event {kind}, n_nodes int, bearing_deg double, offset_m double, rms_s double, refusal string")
+    return spread(rows, "event").mapInPandas(solve, f"event {kind}, n_nodes int, bearing_deg double, offset_m double, rms_s double, refusal string")

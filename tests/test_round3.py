@@ -21,3 +21,43 @@ def test_pairs_of_a_bin_are_counted_without_a_join_of_its_nodes(spark, name):
     got = out.collect()
     assert len(got) == len(want) and {(r["node_a"], r["node_b"]): r["n_bins"] for r in got} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_joint_fit_takes_one_descent_where_the_first_is_exact(monkeypatch):
+    import numpy as np
+
+    from echofold.functions import kernels
+
+    p = np.array([(0.0, 0.0, 0.0), (40.0, 5.0, 0.0), (-30.0, 35.0, 0.0), (10.0, -45.0, 0.0), (-45.0, -20.0, 0.0), (35.0, 40.0, 0.0)])
+    src = np.array([(x * 17 % 160 - 80, x * 29 % 140 - 70) for x in range(1, 30, 3)], float)
+    t = np.linalg.norm(p[None, :, :2] - src[:, None], axis=2) / 343.0
+    t[:, 4] += 0.0123
+    calls, real = [], kernels._Joint.descend
+    monkeypatch.setattr(kernels._Joint, "descend", lambda self, b: calls.append(1) or real(self, b))
+    fit = kernels.joint_fit(p, t, [False] * 4 + [True, False], 343.0)
+    assert fit["bias_s"][4] == pytest.approx(0.0123, abs=1e-7) and len(calls) == 1
+
+
+def test_a_cone_is_the_best_of_the_whole_grid_without_all_its_points(monkeypatch):
+    import numpy as np
+
+    from echofold.functions import kernels
+
+    rng, v, c = np.random.default_rng(5), 700.0, 343.0
+    slope = np.sqrt(1 / c**2 - 1 / v**2)
+    offsets = np.arange(-60.0, 60.25, 0.25)
+    for _ in range(3):
+        p = np.column_stack([rng.uniform(-50, 50, (5, 2)), np.zeros(5)])
+        t = rng.uniform(0, 0.1, 5)
+        whole = []
+        for b in np.arange(0.0, 360.0, 0.25):
+            along = np.array([np.sin(np.radians(b)), np.cos(np.radians(b))])
+            r = t - (p[:, :2] @ along)[None] / v - np.abs((p[:, :2] @ [along[1], -along[0]])[None] - offsets[:, None]) * slope
+            whole.append(r.std(axis=1))
+        i, j = np.unravel_index(np.argmin(whole), (1440, 481))
+        asked, real = [], np.abs
+        monkeypatch.setattr(np, "abs", lambda x, *a, **k: asked.append(np.size(x)) or real(x, *a, **k))
+        bearing, offset, rms = kernels.mach_cone(p, t, v, c)
+        monkeypatch.undo()
+        assert (bearing, offset) == (i * 0.25, offsets[j]) and rms == pytest.approx(whole[i][j], abs=1e-12)
+        assert sum(asked) < 1440 * 481 * 5 / 4

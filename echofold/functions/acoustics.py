@@ -89,6 +89,13 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many digits as SQL engines do it on doubles: half away from zero after scaling, and what is negative but rounds to nothing is -0.0."""
+    scale = F.lit(10.0**digits)
+    r = F.round(x * scale) / scale
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from echofold.functions import acoustics as A
 from echofold.plans.tables import DETS, HOUR, detections, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -27,7 +28,7 @@ RATE = "CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 8000 ELSE 16
 def feature_rows(spark, sf_dir):
     """Features of the records at one rate, a step being half a decibel over the reference."""
     e = table(spark, sf_dir, "embeddings").withColumn("fs", F.expr(RATE))
-    return e.where("fs = 16000").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") / 2 - 3.0, 6)).alias("x"))
+    return e.where("fs = 16000").select("vec_id", F.transform("embedding", lambda x: A.rounded(x.cast("double") / 2 - 3.0, 6)).alias("x"))
 
 
 @query(
@@ -53,7 +54,7 @@ def aligned_rows(spark, sf_dir):
     edges = F.array(*[F.lit(LOW * (HIGH / LOW) ** (k / BANDS)) for k in range(1, BANDS + 1)])
     v = table(spark, sf_dir, "embeddings").withColumn("fs", F.expr(RATE)).where("fs is not null").withColumn("bands", F.size(F.filter(edges, lambda x: x <= F.col("fs") / 2 + 1e-6)))
     k = v.agg(F.min("bands").alias("k"))
-    whole = F.transform(F.slice("embedding", F.lit(1), F.col("k") * FRAMES), lambda x: F.round(x.cast("double"), 6))
+    whole = F.transform(F.slice("embedding", F.lit(1), F.col("k") * FRAMES), lambda x: A.rounded(x.cast("double"), 6))
     return v.join(k).select("vec_id", F.col("k").alias("n_bands"), (F.col("bands") - F.col("k")).alias("n_dropped"), whole.alias("x"))
 
 
@@ -65,7 +66,7 @@ def scene_rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     geometry = F.when(F.col("label") % 4 == 2, F.col("vec_id")).otherwise(F.size("embedding"))
     g = e.groupBy("label").agg((F.count_distinct(geometry) > 1).alias("mixed"))
-    return e.join(g, "label").select("vec_id", "label", F.when(~F.col("mixed"), F.transform("embedding", lambda x: F.round(x.cast("double"), 6))).alias("x"), F.when(F.col("mixed"), "mixed_geometry").alias("refusal"))
+    return e.join(g, "label").select("vec_id", "label", F.when(~F.col("mixed"), F.transform("embedding", lambda x: A.rounded(x.cast("double"), 6))).alias("x"), F.when(F.col("mixed"), "mixed_geometry").alias("refusal"))
 
 
 @query(f"WITH {DETS} SELECT node, t / 1000000.0 AS t_s, value AS x FROM d WHERE seq % 53 <> 1")

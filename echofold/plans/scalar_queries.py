@@ -241,4 +241,4 @@ def embed_records(spark, sf_dir):
     """One vector of length one or one rejection for each row."""
     e = F.col("embedding")
     rejection = F.when(F.size(e) != 64, "wrong_size").when(A.dot(e, e) == 0, "no_direction")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(rejection.isNull(), F.transform(A.l2_normalised(e), lambda x: F.round(x, 5))).alias("vector"), rejection.alias("rejection"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(rejection.isNull(), F.transform(A.l2_normalised(e), lambda x: A.rounded(x, 5))).alias("vector"), rejection.alias("rejection"))

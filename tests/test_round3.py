@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 
@@ -61,3 +62,42 @@ def test_a_cone_is_the_best_of_the_whole_grid_without_all_its_points(monkeypatch
         monkeypatch.undo()
         assert (bearing, offset) == (i * 0.25, offsets[j]) and rms == pytest.approx(whole[i][j], abs=1e-12)
         assert sum(asked) < 1440 * 481 * 5 / 4
+
+
+#: Receiver and time of nine points of a passing that three starting places missed.
+_POINTS = [(1, 2.2), (1, 6.1), (1, 8.6), (2, 10.6), (2, 13.0), (2, 15.1), (0, 15.6), (1, 15.8), (1, 18.4)]
+
+
+def test_rounding_of_vectors_agrees_with_sql_to_the_sign_of_nothing(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from echofold.functions import acoustics as A
+
+    values = [-3e-6, 3e-6, 0.0, 1.2345649999, -1.5e-5, -2.5e-7, 123.4567895]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (5, 6):
+        got = [r[0] for r in df.select(A.rounded(F.col("x"), digits)).collect()]
+        assert list(map(repr, got)) == [repr(duckdb.sql(f"SELECT round(CAST('{v!r}' AS DOUBLE), {digits})").fetchall()[0][0]) for v in values]
+
+
+@pytest.mark.parametrize("name", ["frame_codec", "sketch_corpus"])
+def test_nodes_beyond_16_bits_keep_their_numbers(spark, tmp_path, name):
+    import duckdb
+
+    from echofold import plans
+
+    duckdb.sql(f"COPY (SELECT CAST(range AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 977 MINUTE * range AS ts, CAST(range * 9000 % 140000 AS BIGINT) AS user_id, 'view' AS event_type, 1.5 AS value, '' AS props FROM range(100)) TO '{tmp_path}/events.parquet'")
+    df, con = plans.QUERIES[name](spark, str(tmp_path)), duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
+    plain = lambda rows: sorted(repr(tuple(float(v) if isinstance(v, Decimal) else v for v in r)) for r in rows)
+    assert plain(df.collect()) == plain(want)
+
+
+def test_a_doppler_fit_of_few_points_finds_the_exact_curve(spark):
+    from echofold.operators import ridges as G
+
+    rows = [(1, r, t, float(G.doppler_hz(t, 110.0, 20.0, 8.0, 11.0, r * 15.0, 343.0))) for r, t in ((r, float(t)) for r, t in _POINTS)]
+    fit = G.doppler_fits(spark.createDataFrame(rows, "set long, receiver int, t double, hz double"), spark.createDataFrame([(k, 15.0 * k) for k in range(3)], "receiver int, x_m double")).collect()[0]
+    assert [round(fit[c], 3) for c in ("f0_hz", "v_mps", "t_cpa_s", "d_m")] == [110.0, 20.0, 8.0, 11.0]

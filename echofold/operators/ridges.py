@@ -124,7 +124,13 @@ def doppler_fits(points: DataFrame, receivers: DataFrame, speed: float = 343.0,
         residual = lambda p: doppler_hz(t - t0, p[0], p[1], p[2], p[3], x, speed) - hz
         bounds = ([1e-6, -0.99 * speed, -10 * span, 1e-6], [np.inf, 0.99 * speed, 11 * span, np.inf])
         starts = [(float(np.median(hz)), sign * min(30.0, 0.2 * speed), share * span, 10.0) for sign in (1, -1) for share in (0.5, 0.25, 0.75)]
-        cost, p = min((least_squares(residual, s, *bounds, scale) for s in starts), key=lambda found: (round(found[0], 9), -found[1][1]))
+        best = lambda fits: min(fits, key=lambda found: (round(found[0], 9), -found[1][1]))
+        cost, p = best(least_squares(residual, s, *bounds, scale) for s in starts)
+        if cost > 1e-6 * len(t):
+            # Few points have many near misses: a fit that isn't exact is begun from more places.
+            more = [(float(np.median(hz)), sign * v, share * span, d) for sign in (1, -1) for v in (8.0, min(30.0, 0.2 * speed)) for share in np.arange(0.1, 1.0, 0.2) for d in (2.0, 8.0, 20.0)]
+            cost, p = best([(cost, p), *(least_squares(residual, s, *bounds, scale, 60) for s in more)])
+            cost, p = best([(cost, p), least_squares(residual, p, *bounds, scale)])
         return pd.DataFrame([(batch["set"].iloc[0], len(t), p[0], p[1], p[2] + t0, p[3], float(np.sqrt(np.mean(residual(p) ** 2))), None)], columns=names)
 
     return heard.select("set", "t", "hz", "x").groupBy("set").applyInPandas(fit, f"set {kind}, n long, f0_hz double, v_mps double, t_cpa_s double, d_m double, rms_hz double, refusal string")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 from decimal import Decimal
 
@@ -101,3 +102,18 @@ def test_a_doppler_fit_of_few_points_finds_the_exact_curve(spark):
     rows = [(1, r, t, float(G.doppler_hz(t, 110.0, 20.0, 8.0, 11.0, r * 15.0, 343.0))) for r, t in ((r, float(t)) for r, t in _POINTS)]
     fit = G.doppler_fits(spark.createDataFrame(rows, "set long, receiver int, t double, hz double"), spark.createDataFrame([(k, 15.0 * k) for k in range(3)], "receiver int, x_m double")).collect()[0]
     assert [round(fit[c], 3) for c in ("f0_hz", "v_mps", "t_cpa_s", "d_m")] == [110.0, 20.0, 8.0, 11.0]
+
+
+@pytest.mark.parametrize("name", ["repeats_within_window", "one_use_nearest", "pair_coincidences"])
+def test_no_small_group_is_a_call_of_its_own(spark, name):
+    from echofold import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_payloads_of_a_tenant_are_dealt_over_tasks(spark):
+    from echofold import plans
+
+    plan = plans.QUERIES["payloads_that_differ"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\([^,]+, [^,]+, \d+\)", re.sub(r"knownproduced\([^)]*\)", "", plan))

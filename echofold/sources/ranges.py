@@ -188,6 +188,17 @@ class FrozenLines(DataSource):
         return _StreamReader(self.options["path"], int(self.options.get("range_bytes", 64 << 20)))
 
 
+#: Tasks of a batch scan at most; with more ranges a task reads several in a row.
+MOST_TASKS = 256
+
+
+class ByteRanges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    def __init__(self, ranges: list[ByteRange]):
+        self.ranges = ranges
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, size: int):
         self.path, self.size = path, size
@@ -197,11 +208,18 @@ class _Reader(DataSourceReader):
         def wanted(path: str) -> bool:
             return all(dict(zip(("day", "node"), labels(path)))[k] in v for k, v in self.wanted.items())
 
-        return [r for f in freeze_all(self.path, wanted)[1] for r in cut(f, 0, self.size)]
+        ranges = [r for f in freeze_all(self.path, wanted)[1] for r in cut(f, 0, self.size)]
+        if len(ranges) <= MOST_TASKS:
+            return ranges
+        step = -(-len(ranges) // MOST_TASKS)
+        return [ByteRanges(ranges[k : k + step]) for k in range(0, len(ranges), step)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | ByteRanges) -> Iterator[pa.RecordBatch]:
         # Without a file there is one task that has nothing to do.
-        return iter(()) if partition is None else read_range(self.path, partition)
+        if partition is None:
+            return
+        for r in partition.ranges if isinstance(partition, ByteRanges) else [partition]:
+            yield from read_range(self.path, r)
 
 
 class _PickingReader(_Reader):

@@ -117,3 +117,13 @@ def test_payloads_of_a_tenant_are_dealt_over_tasks(spark):
 
     plan = plans.QUERIES["payloads_that_differ"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\([^,]+, [^,]+, \d+\)", re.sub(r"knownproduced\([^)]*\)", "", plan))
+
+
+def test_many_ranges_share_tasks_and_give_every_line_once(spark, tmp_path):
+    from echofold.sources import ranges as R
+
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"i": {k}}}\n' for k in range(5000)))
+    lines = R.frozen_lines(spark, str(tmp_path), 64)
+    assert lines.rdd.getNumPartitions() <= R.MOST_TASKS
+    got = sorted(r["line"] for r in lines.select("line").collect())
+    assert got == sorted(f'{{"i": {k}}}' for k in range(5000))

@@ -289,15 +289,8 @@ def whole_shift_suspects(spark, sf_dir):
     d = detections(spark, sf_dir)
     unused = d.where("source = 'view'").select("seq", "node", "t")
     events = d.where("source = 'purchase'").select(F.col("seq").alias("r_id"), F.col("node").alias("r_node"), F.col("t").alias("r_t"))
-    shifts = F.array(*[F.lit(k * HOUR) for k in (-3, -2, -1, 1, 2, 3)])
-    moved = unused.select(F.col("seq").alias("l_id"), F.col("node").alias("l_node"), F.col("t").alias("l_at"), F.explode(shifts).alias("shift")).withColumn("l_t", F.col("l_at") + F.col("shift"))
-    fits = M.within_band(moved, events, 5 * MINUTE).where("l_node <> r_node")
-    heard = d.select(F.col("node").alias("h_node"), F.col("t").alias("h_t")).withColumn("bin", F.explode(F.array(*[F.floor(F.col("h_t") / (30 * MINUTE)) + k for k in (-1, 0, 1)])))
-    asked = fits.withColumn("bin", F.floor(F.col("l_at") / (30 * MINUTE)))
-    near = (asked["bin"] == heard["bin"]) & (F.col("r_node") == F.col("h_node")) & (F.abs(F.col("h_t") - F.col("l_at")) <= 30 * MINUTE)
-    left = asked.join(heard, near, "left_anti").withColumn("error", F.abs(F.col("l_t") - F.col("r_t")))
-    best = left.groupBy("l_id").agg(F.min(F.struct("error", F.abs("shift").alias("size"), "shift", "r_id")).alias("b"))
-    return best.select("l_id", "b.r_id", "b.shift", "b.error")
+    left = unused.select(F.col("seq").alias("l_id"), F.col("node").alias("l_node"), F.col("t").alias("l_t"))
+    return M.vetoed_suspects(left, events, d.select("node", "t"), [k * HOUR for k in (-3, -2, -1, 1, 2, 3)], 5 * MINUTE, 30 * MINUTE)
 
 
 @query(

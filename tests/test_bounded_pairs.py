@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from echofold import plans
 from echofold.operators import matching as M
 
@@ -33,3 +36,25 @@ def test_vetoed_suspects_equal_all_pairs(spark):
 
 def test_whole_shift_suspects_makes_no_pairs(spark):
     assert "Join" not in plan_of(plans.QUERIES["whole_shift_suspects"](spark, SF))
+
+
+@pytest.mark.parametrize(("n", "nodes", "block_rows", "cells"), [(0, 1, 50, 4), (1, 1, 50, 4), (300, 25, 10, 4), (300, 2, 1000, 1 << 20)])
+def test_pair_counts_equal_all_pairs(spark, monkeypatch, n, nodes, block_rows, cells):
+    r = random.Random(n + nodes)
+    rows = [(r.randint(-3, nodes), r.randint(-50, 400)) for _ in range(n)]
+    want = {}
+    for a, t in rows:
+        for b, u in rows:
+            if a < b and abs(t - u) <= 7:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame([*rows, (None, 3), (4, None)], "node long, t long")
+    got = M.pair_counts(df, 7, block_rows).collect()
+    assert {(x["node_a"], x["node_b"]): x["n"] for x in got} == want and len(got) == len(want)
+    monkeypatch.setattr(M, "TABLE_CELLS", cells)
+    side = [np.array([[a for a, _ in rows], [t for _, t in rows]], np.int64)]
+    found = [row for batch in M._cell_counts(side if n else [], [], (0, 0), 7) for row in batch.to_pylist()]
+    assert {(x["node_a"], x["node_b"]): x["n"] for x in found} == want
+
+
+def test_band_join_counts_shuffles_no_pairs(spark):
+    assert "Join" not in plan_of(plans.QUERIES["band_join_counts"](spark, SF))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from echofold import plans
+from echofold.functions import kernels
+from echofold.operators import association as S
 from echofold.operators import matching as M
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,73 @@ def test_pair_counts_equal_all_pairs(spark, monkeypatch, n, nodes, block_rows, c
 
 def test_band_join_counts_shuffles_no_pairs(spark):
     assert "Join" not in plan_of(plans.QUERIES["band_join_counts"](spark, SF))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_cluster_changes_equal_clusters_made_anew(seed):
+    r = np.random.default_rng(seed)
+    n, window, margin = 250, 0.3, float(r.choice([0.02, 0.1, 0.3]))
+    t, node = np.sort(np.round(r.random(n) * n / float(r.choice([8, 40])), 2)), r.integers(0, 7, n)
+    place, fresh = r.random((7, 3)) * 40, np.zeros(n, bool)
+    fresh[r.choice(n, 5, replace=False)] = True
+    node[fresh] = 7
+    place = np.vstack([place, [[1.0, 2.0, 3.0]]])[node]
+    taken, own = np.zeros(n, bool), int(n * 0.8)
+    events = lambda code, group, of: sorted(tuple(of[np.flatnonzero((group == g) & (code == kernels.EVENT))].tolist()) for g in np.unique(group[code == kernels.EVENT]))
+    rest = np.flatnonzero(~fresh)
+    args = (340.0, margin, window, 2, 8)
+    code, group = kernels.clusters(t[rest], node[rest], place[rest], taken[rest], int((rest < own).sum()), *args)
+    # Seeds beyond own are those of the next slice.
+    whole, seeds = kernels.clusters(t[rest], node[rest], place[rest], taken[rest], len(rest), *args)
+    base = np.full(n, n)
+    base[rest] = rest[seeds]
+    changes, left = kernels.cluster_changes(t, node, place, base, fresh, taken, own, *args)
+    now, by = kernels.clusters(t, node, place, taken, own, *args)
+    was = events(code, group, rest)
+    for sign, members in changes:
+        was.append(tuple(members.tolist())) if sign == 1 else was.remove(tuple(members.tolist()))
+    assert sorted(was) == events(now, by, np.arange(n))
+    used = np.zeros(n, bool)
+    used[rest] = code > 0
+    assert left.tolist() == [k for k in range(own, n) if (now[k] > 0) != used[k]]
+
+
+def test_null_hands_on_what_slices_leave(spark):
+    r = random.Random(8)
+    rows, t = [], 0.0
+    for k in range(160):
+        t += r.choice([0.01, 0.03, 0.06, 0.1])
+        rows.append((r.choice(["a", "b", "c", "d", "e"]), k, round(t, 3)))
+    survey = spark.createDataFrame([(n, 9.0 * k, 4.0 * k * k, 0.0) for k, n in enumerate("abcde")], "node string, x double, y double, z double")
+    df = spark.createDataFrame(rows, "node string, seq long, t double")
+    place = {x["node"]: (x["x"], x["y"], x["z"]) for x in survey.collect()}
+    import hashlib
+    import itertools
+
+    def census(some):
+        some = sorted(some, key=lambda x: (x[2], x[0], x[1]))
+        kinds, group = kernels.associate([x[2] for x in some], [x[0] for x in some], [place[x[0]] for x in some], [False] * len(some), len(some), 340.0, 0.03, 0.2, 2, 5)
+        events, out = {}, {}
+        for x, kind, g in zip(some, kinds, group):
+            if kind == "event":
+                events.setdefault(g, []).append(x[0])
+        for members in events.values():
+            for pair in itertools.combinations(sorted(members), 2):
+                out[pair] = out.get(pair, 0) + 1
+        return out
+
+    first, last, draws = rows[0][2], rows[-1][2], 9
+    truth, counts = census(rows), []
+    for draw in range(draws):
+        off = int(hashlib.md5(f"5:{draw}".encode()).hexdigest()[:13], 16) / 2**52 * (last - first)
+        counts.append(census([x if x[0] != "c" else ("c", x[1], first + (x[2] - first + off) % (last - first)) for x in rows]))
+    want = {}
+    for pair in set(truth).union(*counts):
+        v = sorted(c.get(pair, 0) for c in counts)
+        want[pair] = (truth.get(pair, 0), v[draws // 2], v[int(0.95 * draws)], v[-1], round(sum(v) / draws, 3))
+    got = S.pair_census_null(df, survey, "c", draws, 5, 340.0, 0.03, 0.2, slice_rows=30).collect()
+    assert {(x["a"], x["b"]): (x["observed"], x["median"], x["p95"], x["max"], x["mean"]) for x in got} == want
+
+
+def test_pair_census_shuffles_no_pairs(spark):
+    assert "MapInArrow" in plan_of(plans.QUERIES["pair_census"](spark, SF))

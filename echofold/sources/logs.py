@@ -88,7 +88,12 @@ def frozen_range(rows: DataFrame, position: str, after: Column, freeze: Column)
 
 def is_object(line: Column) -> Column:
     """Whether a line is a whole JSON object."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
+    return holds_object(F.try_parse_json(line))
+
+
+def holds_object(v: Column) -> Column:
+    """Whether a variant is an object."""
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
 def json_rows(lines: DataFrame, schema: str) -> DataFrame:

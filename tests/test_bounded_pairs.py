@@ -140,3 +140,11 @@ def test_detection_files_are_not_a_folder_each(spark, monkeypatch):
     monkeypatch.setattr(source_queries, "new_path", lambda s, make=source_queries.new_path: paths.append(make(s)) or paths[-1])
     assert plans.QUERIES["detection_files"](spark, SF).count() == 5
     assert len(paths) == 1 and not [x for x in os.listdir(paths[0].removeprefix("file:")) if "=" in x]
+
+
+def test_annotation_lines_are_parsed_once(spark):
+    from echofold.sources import annotations as N
+
+    lines = spark.createDataFrame([("f", "{}")], "path string, line string")
+    for rows in (N.stored_clips(lines), N.tag_rows(lines, "x")):
+        assert plan_of(rows).count("parseJson") == 1

@@ -148,3 +148,22 @@ def test_annotation_lines_are_parsed_once(spark):
     lines = spark.createDataFrame([("f", "{}")], "path string, line string")
     for rows in (N.stored_clips(lines), N.tag_rows(lines, "x")):
         assert plan_of(rows).count("parseJson") == 1
+
+
+def test_chain_groups_cut_dense_slices(spark, monkeypatch):
+    r, rows, t = random.Random(3), [], 0.0
+    for _ in range(400):
+        t += r.choice([0.0, 0.01, 0.2, 1.0])
+        rows.append((r.choice("xy"), r.randint(1, 40), round(t, 2)))
+    rows = sorted(set(rows), key=lambda x: (x[0], x[2], x[1]))
+    want, held = [], {}
+    for on, node, at in rows:
+        first, last, seen = held.get(on, (None, None, set()))
+        if last is None or at - last > 0.9 or node in seen:
+            first, seen = at, set()
+        held[on] = (first, at, seen | {node})
+        want.append((on, node, at, first))
+    sizes, real = [], S._settled
+    monkeypatch.setattr(S, "_settled", lambda dealt, *rest: sizes.append(dealt.groupBy("slice").count().agg({"count": "max"}).first()[0]) or real(dealt, *rest))
+    got = S.chain_groups(spark.createDataFrame(rows, "k string, node long, t double"), "k", 0.9, 1000.0, slice_rows=10).collect()
+    assert sorted(tuple(x) for x in got) == sorted(want) and sizes[0] < 60

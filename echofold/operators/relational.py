@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echofold.scratch import sized
+
 UNIT = "\u001f"
 
 
@@ -19,13 +21,14 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def first_wins(df: DataFrame, keys: list[str], order: list[str], body: str, hot_keys: bool = False) -> DataFrame:
     """Per key: the first body, arrivals, repeats of it, and arrivals whose body differs from it.
 
-    One shuffle by key, where each key's rows pass in order. With ``hot_keys`` bodies are counted where they are read, then per key: two shuffles, the second of one row a body, and
+    One shuffle by key, where each key's rows pass in order; the larger the input, the more tasks. With ``hot_keys`` bodies are counted where they are read, then per key: two shuffles, the second of one row a body, and
     no key's rows in one task.
     """
     if hot_keys:
         bodies = df.groupBy(*keys, body).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_at"))
         first = F.min_by("_n", "_at")
         return bodies.groupBy(*keys).agg(F.min_by(body, "_at").alias("body"), F.sum("_n").alias("arrivals"), (first - 1).alias("duplicates"), (F.sum("_n") - first).alias("conflicts"))
+    df = sized(df, *keys)
     passing = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col(body).eqNullSafe(F.col("_first"))
     rows = df.withColumn("_first", F.first(body).over(passing))

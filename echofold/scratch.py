@@ -55,3 +55,15 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` over all shuffle partitions: for rows that are few in bytes and dear in work, which adaptive execution would put into few tasks."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Input of a task by Spark's estimate, which knows files as they are compressed.
+TASK_BYTES = 4 << 20
+
+
+def sized(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as its size asks for, where that is more than there are shuffle partitions, so that a task doesn't grow with the input."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = -(-estimate // TASK_BYTES)
+    # An input of unknown size is estimated as endless.
+    return df.repartition(tasks, *keys) if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < tasks < 1 << 16 else df

@@ -167,3 +167,14 @@ def test_chain_groups_cut_dense_slices(spark, monkeypatch):
     monkeypatch.setattr(S, "_settled", lambda dealt, *rest: sizes.append(dealt.groupBy("slice").count().agg({"count": "max"}).first()[0]) or real(dealt, *rest))
     got = S.chain_groups(spark.createDataFrame(rows, "k string, node long, t double"), "k", 0.9, 1000.0, slice_rows=10).collect()
     assert sorted(tuple(x) for x in got) == sorted(want) and sizes[0] < 60
+
+
+def test_first_wins_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    from echofold import scratch
+    from echofold.operators import relational as R
+
+    df = spark.range(2000).selectExpr("id % 50 AS k", "id AS o", "id % 3 AS body")
+    few = {tuple(x) for x in R.first_wins(df, ["k"], ["o"], "body").collect()}
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+    many = R.first_wins(df, ["k"], ["o"], "body")
+    assert "REPARTITION_BY_NUM" in plan_of(many) and plan_of(many).count("Exchange hashpartitioning") == 1 and {tuple(x) for x in many.collect()} == few

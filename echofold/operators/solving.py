@@ -68,22 +68,23 @@ def known_source_offset(path_m: Column, sigma_pos_m: Column, sigma_node_s: Colum
     return F.struct(*[F.when(refusal.isNull(), v).alias(k) for k, v in named.items()], refusal.alias("refusal"))
 
 
-def cone_fits(arrivals: DataFrame, survey: DataFrame, mach_speed: str, sound_speed: float) -> DataFrame:
+def cone_fits(arrivals: DataFrame, survey: DataFrame, mach_speed: str, sound_speed: float, passed: str | None = None) -> DataFrame:
     """Bearing, offset and residual of the path of a supersonic source for each event (event, node, t, and its speed in the column ``mach_speed``).
 
-    Refused: ``subsonic`` and ``too_few_arrivals`` (four at least, as bearing, offset and time are unknown).
+    Refused: ``subsonic`` and ``too_few_arrivals`` (four at least, as bearing, offset and time are unknown). The offset of a path that all nodes lie on one side of can't be told from arrivals: it is null, unless the column
+    ``passed`` gives the time at which the source was abreast of the survey's origin. Nothing else is taken from that time.
     """
     known = survey.select("node", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")])
-    rows = arrivals.where("t is not null").join(known, "node").groupBy("event").agg(F.sort_array(F.collect_list(F.struct("node", "x", "y", "z", F.col("t").cast("double").alias("t")))).alias("heard"), F.any_value(F.col(mach_speed).cast("double")).alias("v"))
+    rows = arrivals.where("t is not null").join(known, "node").groupBy("event").agg(F.sort_array(F.collect_list(F.struct("node", "x", "y", "z", F.col("t").cast("double").alias("t")))).alias("heard"), F.any_value(F.col(mach_speed).cast("double")).alias("v"), F.any_value(F.col(passed).cast("double") if passed else F.lit(None).cast("double")).alias("passed"))
     kind = arrivals.schema["event"].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for event, heard, v in zip(batch["event"], batch["heard"], batch["v"]):
+            for event, heard, v, at in zip(batch["event"], batch["heard"], batch["v"], batch["passed"]):
                 refusal = "subsonic" if not v > sound_speed else "too_few_arrivals" if len(heard) < 4 else None
                 t0 = min(a["t"] for a in heard)
-                fit = (None, None, None) if refusal else kernels.mach_cone([(a["x"], a["y"], a["z"]) for a in heard], [a["t"] - t0 for a in heard], v, sound_speed)
+                fit = (None, None, None) if refusal else kernels.mach_cone([(a["x"], a["y"], a["z"]) for a in heard], [a["t"] - t0 for a in heard], v, sound_speed, passed=None if pd.isna(at) else at - t0)
                 out.append((event, len(heard), *fit, refusal))
             yield pd.DataFrame(out, columns=["event", "n_nodes", "bearing_deg", "offset_m", "rms_s", "refusal"])
 

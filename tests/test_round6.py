@@ -20,3 +20,52 @@ def test_a_path_with_all_nodes_on_one_side_takes_its_offset_from_the_time_it_pas
         alone = kernels.mach_cone(np.stack(at, axis=1), t - t.min(), 700.0, 343.0)
         one_side = (across > offset).all() or (across < offset).all()
         assert known[:2] == (bearing, offset) and alone[:2] == (bearing, None if one_side else offset)
+
+
+def calibrated(cust, orders, biased=(4, 5)):
+    """What six nodes hear of a customer's orders, two of them with an offset of their own; as ``joint_calibration`` of the plans has it."""
+    nodes = np.array([(0.0, 0.0, 0.0), (40.0, 5.0, 0.0), (-30.0, 35.0, 0.0), (10.0, -45.0, 0.0), (-45.0, -20.0, 0.0), (35.0, 40.0, 0.0)])
+    bias = np.array([0, 0, 0, 0, cust * 37 % 400 - 200, cust * 53 % 300 - 150]) / 10000
+    o, n = np.array(sorted(orders))[:, None], np.arange(1, 7)[None]
+    source = np.concatenate([o * 17 % 160 - 80.0, o * 29 % 140 - 70.0], axis=1)
+    t = o * 10.0 + np.linalg.norm(nodes[None, :, :2] - source[:, None], axis=2) / 343.0 + bias
+    return nodes, np.where((o + n * 3) % 5 != 0, t, np.nan), bias, source
+
+
+#: Sources from which one descent puts an event beside a node, where it stays: (-63, -21) went to (-44, -20).
+HELD = [(-56, -22), (58, -24), (-72, -14), (-1, 33), (59, 53), (-69, -43), (-44, -18), (-63, -21), (-46, -32), (45, -45), (-47, 51)]
+HELD_BY = [4, 5, 5, 4, 4, 5, 5, 5, 4, 5, 5]
+
+
+def _order(source, n):
+    """An order whose source this is, heard by so many nodes."""
+    return next(o for o in range(10**6) if (o * 17 % 160 - 80, o * 29 % 140 - 70) == source and sum((o + k * 3) % 5 != 0 for k in range(1, 7)) == n)
+
+
+def test_an_event_in_a_wrong_place_does_not_hold_the_biases():
+    nodes, t, bias, source = calibrated(9859, [_order(s, n) for s, n in zip(HELD, HELD_BY)])
+    fit = kernels.joint_fit(nodes, t, [False] * 4 + [True] * 2, 343.0)
+    assert np.allclose(fit["bias_s"], bias, atol=1e-7) and np.allclose(fit["source"], source, atol=1e-3)
+
+
+def test_many_sets_at_once_are_fitted_as_each_alone():
+    """Sets of unlike nodes, some refused, one with noise."""
+    r, sets = np.random.default_rng(3), []
+    for cust, k in ((7, 8), (12, 6), (31, 9), (5, 1), (9, 7)):
+        nodes, t, _, _ = calibrated(cust, r.choice(10000, k, replace=False))
+        if cust == 31:
+            t = t + r.normal(0, 1e-4, t.shape)
+        if cust == 9:
+            t[:, 5] = np.nan
+        flags = np.array([False] * 4 + [True] * 2) if cust != 12 else np.ones(6, bool)
+        sets.append((nodes, t, flags))
+    p = np.stack([np.where(np.isfinite(t).any(axis=0)[:, None], nodes, np.nan) for nodes, t, _ in sets])
+    real = np.isfinite(p[:, :, 0])
+    count = [len(t) for _, t, _ in sets]
+    got = kernels.joint_fits(p, np.concatenate([t for _, t, _ in sets]), np.stack([f for _, _, f in sets]) & real, count, 343.0)
+    for k, ((nodes, t, flags), mine) in enumerate(zip(sets, real)):
+        want = kernels.joint_fit(nodes[mine], t[:, mine], flags[mine], 343.0)
+        assert got["refusal"][k] == want["refusal"] and bool(got["fitted"][k]) == (want["bias_s"] is not None)
+        if want["bias_s"] is not None:
+            assert np.allclose(got["bias_s"][k][mine], want["bias_s"], atol=1e-8) and np.isclose(got["rms_s"][k], want["rms_s"], atol=1e-10)
+    assert got["refusal"].tolist() == [None, "all_nodes_biased", None, None, None]

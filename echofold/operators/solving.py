@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,40 +14,80 @@ from echofold.functions import kernels
 from echofold.scratch import spread
 
 
-def joint_calibration(arrivals: DataFrame, survey: DataFrame, speed: float, fixed_up: float = 0.0, margin: float = 500.0, step: float = 10.0) -> DataFrame:
+#: Events that are fitted at once.
+FIT_EVENTS = 1 << 16
+
+
+def joint_calibration(
+    arrivals: DataFrame, survey: DataFrame, speed: float, fixed_up: float = 0.0, margin: float = 500.0, step: float = 10.0, kinds: tuple[str, ...] = ("set", "node", "event")
+) -> DataFrame:
     """Sources and clock biases of sets of events, fitted together.
 
     ``arrivals`` (set, event, node, t in seconds, biased): which of a set's nodes have an unknown offset is stated with their arrivals. ``survey`` (node, x, y, z).
-    A set gives a row of kind ``set`` with its counts and refusal, and if it is solved a row for each node (bias_s, sigma_s) and each event (e_m, n_m). Arrivals without a time or of nodes that aren't surveyed
-    take no part; a node heard twice in an event counts by its first arrival.
+    A set gives a row of kind ``set`` with its counts and refusal, and if it is solved a row for each node (bias_s, sigma_s) and each event (e_m, n_m), as far as ``kinds`` asks for them. Arrivals without a time or of nodes
+    that aren't surveyed take no part; a node heard twice in an event counts by its first arrival.
     """
     known = survey.select("node", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")])
-    rows = arrivals.where("t is not null").groupBy("set", "event", "node").agg(F.min(F.col("t").cast("double")).alias("t"), F.bool_or("biased").alias("biased")).join(known, "node")
+    # Dealt by set once, for both groupings.
+    dealt = spread(arrivals.where("t is not null").select("set", "event", "node", F.col("t").cast("double").alias("t"), "biased"), "set")
+    rows = dealt.groupBy("set", "event", "node").agg(F.min("t").alias("t"), F.bool_or("biased").alias("biased")).join(known, "node")
     kind = arrivals.schema["set"].dataType.simpleString()
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["set", "kind", "id", "e_m", "n_m", "bias_s", "sigma_s", "rms_s", "n_events", "n_equations", "n_unknowns", "refusal"]
+    names = ["set", "kind", "id", "e_m", "n_m", "bias_s", "sigma_s", "rms_s", "n_events", "n_equations", "n_unknowns", "refusal"]
+
+    def fitted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        heard = batch.column("heard")
+        size, heard = np.diff(heard.offsets.to_numpy()), heard.flatten()
+        of = np.repeat(np.arange(len(batch)), size)
+        codes = {}
+        for c in ("event", "node"):
+            codes[c] = pd.factorize(pd.Series(heard.field(c).to_pandas()), sort=True)
+        # A set's own events and nodes by number, in their order.
+        event, node = [_numbered(of, codes[c][0]) for c in ("event", "node")]
+        count, place = np.bincount(event[1], minlength=len(batch)), np.cumsum(np.bincount(node[1], minlength=len(batch))) - np.bincount(node[1], minlength=len(batch))
+        column = node[0] - place[of]
+        width = int(column.max()) + 1
+        t, p, flags = np.full((len(event[1]), width), np.nan), np.full((len(batch), width, 3), np.nan), np.zeros((len(batch), width), bool)
+        t[event[0], column] = heard.field("t").to_numpy()
+        p[of, column] = np.stack([heard.field(c).to_numpy() for c in "xyz"], axis=1)
+        biased = heard.field("biased").fill_null(False).to_numpy(zero_copy_only=False)
+        flags[of[biased], column[biased]] = True
+        fit = kernels.joint_fits(p, t, flags, count, speed, fixed_up, margin, step)
+
+        def given(kind: str, of, ids, **values) -> pa.RecordBatch:
+            none = lambda t: pa.nulls(len(of), t)
+            number = lambda v: pa.array(v, pa.float64(), from_pandas=True)
+            counts = [pa.array(v[of], pa.int64()) for v in (count, fit["n_equations"], fit["n_unknowns"])]
+            some = [number(values[c]) if c in values else none(pa.float64()) for c in ("e_m", "n_m", "bias_s", "sigma_s", "rms_s")]
+            columns = [batch.column("set").take(pa.array(of)), pa.array([kind] * len(of), pa.string()), none(pa.string()) if ids is None else pa.array(ids, pa.string()), *some, *counts, pa.array(fit["refusal"][of], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        if "set" in kinds:
+            yield given("set", np.arange(len(batch)), None, rms_s=fit["rms_s"])
+        # Each node's and event's set, and its place in the order of all.
+        if "node" in kinds:
+            some = fit["fitted"][node[1]]
+            at, k = node[1][some], (np.arange(len(node[1])) - place[node[1]])[some]
+            yield given("node", at, [str(codes["node"][1][c]) for c in node[2][some]], bias_s=fit["bias_s"][at, k], sigma_s=fit["sigma_s"][at, k])
+        if "event" in kinds:
+            some = fit["fitted"][event[1]]
+            yield given("event", event[1][some], [str(codes["event"][1][c]) for c in event[2][some]], e_m=fit["source"][some, 0], n_m=fit["source"][some, 1])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name, heard in zip(batch["set"], batch["heard"]):
-                places = {a["node"]: (a["x"], a["y"], a["z"]) for a in heard}
-                nodes, events = sorted(places), sorted({a["event"] for a in heard})
-                row, column = {e: k for k, e in enumerate(events)}, {n: k for k, n in enumerate(nodes)}
-                t, biased = np.full((len(events), len(nodes)), np.nan), np.zeros(len(nodes), bool)
-                for a in heard:
-                    t[row[a["event"]], column[a["node"]]] = a["t"]
-                    biased[column[a["node"]]] |= bool(a["biased"])
-                fit = kernels.joint_fit([places[n] for n in nodes], t, biased, speed, fixed_up, margin, step)
-                counts = (fit["n_events"], fit["n_equations"], fit["n_unknowns"])
-                out.append((name, "set", None, None, None, None, None, fit["rms_s"], *counts, fit["refusal"]))
-                if fit["bias_s"] is not None:
-                    out += [(name, "node", str(n), None, None, b, s, None, *counts, fit["refusal"]) for n, b, s in zip(nodes, fit["bias_s"], fit["sigma_s"])]
-                    out += [(name, "event", str(e), x, y, None, None, None, *counts, fit["refusal"]) for e, (x, y) in zip(events, fit["source"])]
-            yield pd.DataFrame(out, columns=names)
+            cuts = np.searchsorted(np.cumsum(batch.column("n_events").to_numpy()), np.arange(FIT_EVENTS, int(np.sum(batch.column("n_events").to_numpy())) + FIT_EVENTS, FIT_EVENTS), side="right")
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if a < b:
+                    yield from fitted(batch.slice(a, b - a))
 
     schema = f"set {kind}, kind string, id string, e_m double, n_m double, bias_s double, sigma_s double, rms_s double, n_events long, n_equations long, n_unknowns long, refusal string"
-    sets = spread(rows, "set").groupBy("set").agg(F.collect_list(F.struct("event", "node", "x", "y", "z", "t", "biased")).alias("heard"))
-    return sets.mapInPandas(solve, schema)
+    sets = rows.groupBy("set").agg(F.count(F.lit(1)).alias("n_events"), F.collect_list(F.struct("event", "node", "x", "y", "z", "t", "biased")).alias("heard"))
+    return sets.mapInArrow(solve, schema)
+
+
+def _numbered(of, codes):
+    """For values by their ``codes`` in sets ``of``: the number of each among all distinct ones of the sets, and by number the set and the code."""
+    kinds, number = np.unique(of * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
+    return number.reshape(-1), kinds // (int(codes.max(initial=0)) + 1), kinds % (int(codes.max(initial=0)) + 1)
 
 
 def known_source_offset(path_m: Column, sigma_pos_m: Column, sigma_node_s: Column, sigma_pick_s: Column, sigma_temp_c: Column, temp_c: Column, n_chirps: Column, source_moves: Column) -> Column:

@@ -69,3 +69,64 @@ def test_many_sets_at_once_are_fitted_as_each_alone():
         if want["bias_s"] is not None:
             assert np.allclose(got["bias_s"][k][mine], want["bias_s"], atol=1e-8) and np.isclose(got["rms_s"][k], want["rms_s"], atol=1e-10)
     assert got["refusal"].tolist() == [None, "all_nodes_biased", None, None, None]
+
+
+def passing(s, heard):
+    """Points (receiver, t, hz) of supplier ``s`` as ``passing_sources`` of the plans has them."""
+    from echofold.operators import ridges as G
+
+    return [(k, t, float(G.doppler_hz(t, 100.0 + s % 50, 10.0 + s % 20, 8.0 + s % 5, 5.0 + s % 12, 15.0 * k, 343.0))) for k, t in heard]
+
+
+def test_a_near_miss_of_a_doppler_curve_is_not_taken_for_it(spark):
+    """Eight points that another curve, 146.00 Hz and backwards, nearly fits."""
+    from echofold.operators import ridges as G
+
+    heard = [(1, 18.0), (2, 4.1), (1, 19.7), (2, 12.0), (1, 18.2), (1, 15.6), (1, 15.9), (1, 15.6)]
+    rows = [(10596, *x) for x in passing(10596, heard)]
+    receivers = spark.createDataFrame([(k, 15.0 * k) for k in range(3)], "receiver int, x_m double")
+    (fit,) = G.doppler_fits(spark.createDataFrame(rows, "set long, receiver int, t double, hz double"), receivers).collect()
+    assert [round(fit[c], 3) for c in ("f0_hz", "v_mps", "t_cpa_s", "d_m")] == [146.0, 26.0, 9.0, 5.0] and fit["rms_hz"] < 1e-7
+
+
+def test_passings_are_fitted_in_lots_that_hold_whole_sets(spark, monkeypatch):
+    """Many sets in a task, more than a batch holds, one with noise and some of too few points."""
+    from echofold.operators import ridges as G
+
+    r, rows = np.random.default_rng(8), []
+    for s in range(60):
+        n = 5 if s % 10 == 3 else int(r.integers(30, 90))
+        rows += [(f"s{s}", k, t, hz + (r.normal(0, 0.02) if s == 7 else 0.0)) for k, t, hz in passing(s, [(int(r.integers(0, 3)), float(r.integers(0, 200)) / 10) for _ in range(n)])]
+    receivers = spark.createDataFrame([(k, 15.0 * k) for k in range(3)], "receiver int, x_m double")
+    points = spark.createDataFrame(rows + [(None, *x) for x in passing(4, [(k % 3, k * 0.7) for k in range(20)])], "set string, receiver int, t double, hz double")
+    whole = {x["set"]: x for x in G.doppler_fits(points, receivers).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {x["set"]: x for x in G.doppler_fits(points, receivers).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 61 and {k: (x["n"], x["refusal"]) for k, x in got.items()} == {k: (x["n"], x["refusal"]) for k, x in whole.items()}
+    for name, x in got.items():
+        s = 4 if name is None else int(name[1:])
+        if name is not None and s % 10 == 3:
+            assert (x["n"], x["refusal"], x["f0_hz"]) == (5, "too_few_points", None)
+        elif s != 7:
+            assert [round(x[c], 3) for c in ("f0_hz", "v_mps", "t_cpa_s", "d_m")] == [100.0 + s % 50, 10.0 + s % 20, 8.0 + s % 5, 5.0 + s % 12]
+    assert abs(got["s7"]["v_mps"] - 17.0) < 0.5 and 0.005 < got["s7"]["rms_hz"] < 0.04
+
+
+def test_small_lots_give_the_same_fits(monkeypatch):
+    from echofold.operators import ridges as G
+
+    r, t, hz, x, count = np.random.default_rng(2), [], [], [], []
+    for s in range(25):
+        n = int(r.integers(8, 60))
+        points = passing(s, [(int(r.integers(0, 3)), float(r.integers(1, 200)) / 10) for _ in range(n - 1)] + [(0, 0.0)])
+        count.append(n)
+        for a, b in ((t, 1), (hz, 2)):
+            a += [q[b] for q in points]
+        x += [15.0 * q[0] for q in points]
+    at = [np.array(v) for v in (t, hz, x)]
+    want = G.passing_fits(*at, count, 343.0, 1.0)[1]
+    monkeypatch.setattr(G, "FIT_POINTS", 100)
+    assert np.allclose(G.passing_fits(*at, count, 343.0, 1.0)[1], want, atol=1e-6)

@@ -163,3 +163,20 @@ def test_leaving_arrivals_out_is_one_call_for_many_events(spark, monkeypatch):
     assert got["e0", None]["refusal"] is None and abs(got["e0", "3"]["e_m"] - 333.0) < 1e-2 and got["e0", "3"]["dof"] == 1
     assert [got["e2", o]["refusal"] for o in "0123"] == ["too_few_arrivals"] * 4 and got["e2", "0"]["dof"] == -1 and got["e2", "0"]["e_m"] is None
     assert len(twice.collect()) == 8
+
+
+def test_rows_are_not_shuffled_for_each_few_thousand_nodes(spark):
+    """Forty thousand nodes in eight blocks, so that a row is shuffled for eight others; blocks of 4096 would be ten, and 132 for the nodes of the largest tables."""
+    from echofold.operators import temporal as W
+
+    df = spark.range(80000).selectExpr("id % 40000 AS node", "CAST(id / 3 AS BIGINT) * 10 + id % 3 AS t")
+    out = W.pair_cooccurrence(df, "t", "node", 10)
+    assert out.rdd.getNumPartitions() == 36
+    assert [tuple(r) for r in out.groupBy("n_bins").count().orderBy("n_bins").collect()] == [tuple(r) for r in _shared(df).groupBy("n_bins").count().orderBy("n_bins").collect()]
+
+
+def _shared(df):
+    from pyspark.sql import functions as F
+
+    one = df.select("node", F.floor(F.col("t") / 10).alias("bin")).distinct()
+    return one.alias("x").join(one.alias("y"), "bin").where("x.node < y.node").groupBy("x.node", "y.node").agg(F.count("*").alias("n_bins"))

@@ -180,3 +180,27 @@ def _shared(df):
 
     one = df.select("node", F.floor(F.col("t") / 10).alias("bin")).distinct()
     return one.alias("x").join(one.alias("y"), "bin").where("x.node < y.node").groupBy("x.node", "y.node").agg(F.count("*").alias("n_bins"))
+
+
+def test_a_draw_is_given_in_frames_of_bounded_size(spark, monkeypatch):
+    """What a slice's draws change comes in several frames, and the census is the same whatever their size."""
+    from echofold.operators import association as S
+
+    r = np.random.default_rng(11)
+    rows = [(int(n), k, float(t)) for k, (n, t) in enumerate(zip(r.integers(0, 25, 700), np.sort(r.uniform(0, 60, 700))))]
+    survey = spark.createDataFrame([(n, n % 5 * 30.0, n % 3 * 40.0, 0.0) for n in range(25)], "node long, x double, y double, z double")
+    dets = spark.createDataFrame(rows, "node long, seq long, t double")
+    find = lambda: sorted(tuple(x) for x in S.pair_census_null(dets, survey, 3, 20, 5, 340.0, 0.3, 1.0).collect())
+    want, solves = find(), []
+    grouped = type(dets.groupBy("node"))
+    apply = grouped.applyInPandas
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, f, schema: solves.append(f) or apply(self, f, schema))
+    assert find() == want and solves
+    import pandas as pd
+
+    fresh = [(0, d, -1 - d, 3, 9000 + d, 5.0 + d * 2.1, 90.0, 0.0, 0.0, -1, 1, True) for d in range(20)]
+    known = [(0, 0, k, n, k, t, n % 5 * 30.0, n % 3 * 40.0, 0.0, k, 0, True) for n, k, t in rows if n != 3]
+    frame = pd.DataFrame(known + fresh, columns=["slice", "draw", "row", "node", "seq", "t", "x", "y", "z", "seed", "kind", "own"])
+    monkeypatch.setattr(S, "DRAW_PAIRS", 40)
+    sizes = [len(x) for x in solves[0](iter([frame]))]
+    assert len(sizes) > 3 and max(sizes) < 400
